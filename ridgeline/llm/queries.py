@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import exact_dedup, license_scan, packing, pii, simhash_dedup, token_files, toxicity
+from ridgeline.llm import decontamination, exact_dedup, license_scan, packing, pii, simhash_dedup, token_files, toxicity
 from ridgeline.scratch import fresh_path
 
 
@@ -23,6 +23,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest_ids(rows.select("doc_id", "start", "n_tokens", "ids"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 0, 1024, digest=True)
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -63,6 +67,7 @@ FROM documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_decontamination": op2_decontamination,
     "op4_packing": op4_packing,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
