@@ -7,8 +7,9 @@ import re
 
 import numpy as np
 
-#: Pieces kept by one worker. Beyond it the cache is emptied, so memory stays bounded; the ids don't depend on it.
-CACHE_PIECES = 500_000
+#: Pieces in either half of a worker's cache. A full half becomes the old one, from which what is met again moves over,
+#: so memory stays bounded and frequent pieces stay; the ids don't depend on it.
+CACHE_PIECES = 300_000
 #: Longer pieces aren't kept.
 LONG_PIECE = 100
 
@@ -44,6 +45,7 @@ class PieceEncoder:
         self.mark, self.divider = ("\x01", " \x01 ") if self.word_level else ("\n", "\n")
         (self.mark_id,) = ids(self.mark)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -69,9 +71,12 @@ class PieceEncoder:
             return self.whole(text)
         pieces = self.pieces(text.lower() if self.word_level else text)
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         if new := set(pieces).difference(self.cache):
-            self._learn(list(new))
+            for x in new.intersection(self.old):
+                self.cache[x] = self.old[x]
+            if unknown := new.difference(self.old):
+                self._learn(list(unknown))
         out = b"".join(map(self.cache.__getitem__, pieces))
         for x in [x for x in new if len(x) > LONG_PIECE]:
             del self.cache[x]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import decontamination, exact_dedup, license_scan, packing, pii, simhash_dedup, token_files, toxicity
+from ridgeline.llm import decontamination, exact_dedup, license_scan, packing, pii, simhash_dedup, suffix_dedup, token_files, toxicity
 from ridgeline.scratch import fresh_path
 
 
@@ -37,6 +37,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeated_spans(_documents(spark, sf_dir)))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(_documents(spark, sf_dir)))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontamination": op2_decontamination,
     "op4_packing": op4_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
