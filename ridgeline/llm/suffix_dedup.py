@@ -4,9 +4,9 @@ A corpus doesn't fit one suffix array, so it is cut by content into pieces that
 
 * Anchors.  Of the hashes of all ``KGRAM``-byte strings within a window of ``length`` bytes the least marks the
   window's anchor, so equal windows have equal anchors at equal places.  Runs of windows with one anchor are a *piece*.
-* Equal texts stand for one another: a text that has a copy is wholly repeated if it is long enough.
-* Pieces whose anchor hash occurs once can't hold a repeated string and go no further.
-* The suffixes that start at the windows of the pieces left over are sorted, each task its own, by prefix polynomial
+* Pieces whose anchor hash occurs once can't hold a repeated string and go no further.  Equal pieces, by two 64-bit
+  hashes, repeat all their strings: that settles what copies hold, and one of them goes on to stand for all.
+* The suffixes that start at the windows of the pieces that are left are sorted, each task its own, by prefix polynomial
   hashes: a binary search over prefix lengths finds where two suffixes part, so a comparison takes a logarithmic
   number of steps, and a merge sort orders them (``sort_suffixes``).  Neighbours that agree in ``length`` bytes
   are one string; they are compared byte by byte.
@@ -166,14 +166,6 @@ def anchors(h: Hashes, length: int, kgram: int) -> tuple[np.ndarray, np.ndarray]
     return at, grams
 
 
-def _pieces(text: bytes, length: int, kgram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First windows of the pieces, their numbers of windows and the anchors' hashes."""
-    data = np.frombuffer(text, np.uint8)
-    at, grams = anchors(Hashes(data), length, kgram)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return first, np.diff(np.r_[first, len(at)]), grams[at[first]].view(np.int64)
-
-
 def _bytes(x: pa.Scalar) -> bytes:
     return (x.as_py() or "").encode("utf-8", "surrogatepass")
 
@@ -205,65 +197,75 @@ def _strings(texts: list[bytes], wanted: list[np.ndarray], length: int) -> tuple
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataFrame:
-    """``doc_id, text, spans`` where ``spans`` are the maximal runs ``(start, end)`` of covered bytes, for every row."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    # equal texts: one stands for all, and its bytes are repeated if there are others
-    groups = materialise(rows.groupBy("digest").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")), "texts")
-    single = groups.select("least", "n").withColumnRenamed("least", "row")
-    distinct = materialise(rows.join(single, "row").filter(F.octet_length("text") >= length).select("row", "n", "text"), "distinct")
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_pieces(_bytes(x), length, kgram)[2] for x in batch.column(0)]
-            if found:
-                keys, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+    """``doc_id, text, spans`` where ``spans`` are the maximal runs ``(start, end)`` of covered bytes, for every row.
 
-    keys = distinct.select("text").mapInArrow(mark, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    keys = materialise(keys.filter("n > 1").select("key"), "keys")
+    ``docs`` is read three times and must give its rows in one order, as tables do.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, x in zip(batch.column(0), batch.column(1)):
-                first, n, key = _pieces(_bytes(x), length, kgram)
-                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(first), pa.int64()), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key)], names=["row", "first", "n", "key"])
-
-    pieces = materialise(distinct.select("row", "text").mapInArrow(place, "row long, first int, n int, key long"), "pieces")
-    open_ = lookup_join(pieces, keys.withColumn("again", F.lit(True)), "key", "inner").groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("pieces"))
-    work = materialise(distinct.select("row", "text").join(open_, "row"), "work")
+                text = _bytes(x)
+                if len(text) < length:
+                    continue
+                data = np.frombuffer(text, np.uint8)
+                h, g = Hashes(data), Hashes(data, BASES[1])
+                at, grams = anchors(h, length, kgram)
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                n = np.diff(np.r_[first, len(at)])
+                whole = [x.of(first, n + length - 1).view(np.int64) for x in (h, g)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), row.as_py())), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(grams[at[first]].view(np.int64)), *map(pa.array, whole)],
+                    names=["row", "first", "n", "key", "one", "two"],
+                )
+
+    pieces = materialise(rows.select("row", "text").mapInArrow(place, "row long, first int, n int, key long, one long, two long"), "pieces")
+    keys = materialise(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"), "keys")
+    shared = lookup_join(pieces, keys, "key", "inner").select("row", "first", "n", F.struct("key", "one", "two").alias("kind"))
+    shared = materialise(shared, "shared")
+    # equal pieces repeat all their strings; a piece unlike the others with its anchor may share some strings with them
+    kinds = materialise(shared.groupBy("kind").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "n")).alias("some")), "kinds")
+    settled = lookup_join(shared, kinds.filter("times > 1").select("kind"), "kind", "inner")
+    settled = settled.select("row", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + length).alias("end"))
+    open_keys = kinds.filter("times = 1").select(F.col("kind.key").alias("key")).distinct()
+    to_sort = lookup_join(kinds.select(F.col("kind.key").alias("key"), "times", "some"), open_keys, "key", "inner", rows=kinds.count())
+    to_sort = to_sort.select("some.row", F.struct("some.first", "some.n", F.when(F.col("times") > 1, 2).otherwise(1).alias("weight")).alias("piece"))
+    work = materialise(rows.select("row", "text").join(to_sort.groupBy("row").agg(F.collect_list("piece").alias("pieces")), "row"), "work")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, start, one, two, number, _ in _each(batches, length):
-            first, n = np.unique(number, return_index=True, return_counts=True)[1:]
+        for _, _, one, two, number, weight, _ in _each(batches, length):
+            first, back = np.unique(number, return_index=True, return_inverse=True)[1:]
+            n = np.bincount(back, weight).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(n)], names=["one", "two", "n"])
 
     strings = work.mapInArrow(count, "one long, two long, n long").groupBy("one", "two").agg(F.sum("n").alias("n"))
     again = materialise(strings.filter("n > 1").select("one", "two"), "strings")
 
     def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, start, one, two, _, rows_ in _each(batches, length):
-            yield pa.RecordBatch.from_arrays([pa.array(rows_[own]), pa.array(start.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["row", "start", "one", "two"])
+        for own, start, one, two, _, weight, rows_ in _each(batches, length):
+            at = np.flatnonzero(weight == 1)
+            yield pa.RecordBatch.from_arrays([pa.array(rows_[own[at]]), pa.array(start[at].astype(np.int32)), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64))], names=["row", "start", "one", "two"])
 
     listed = work.mapInArrow(list_, "row long, start int, one long, two long")
-    hit = listed.join(again.withColumnsRenamed({"one": "o", "two": "t"}), (F.col("one") == F.col("o")) & (F.col("two") == F.col("t"))).groupBy("row").agg(F.collect_list("start").alias("starts"))
-    full = F.array(F.struct(F.lit(0).alias("start"), F.octet_length("text").alias("end")))
+    hit = listed.join(again.withColumnsRenamed({"one": "o", "two": "t"}), (F.col("one") == F.col("o")) & (F.col("two") == F.col("t"))).select("row", "start", (F.col("start") + length).alias("end"))
+    covered = settled.unionByName(hit).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             out = []
             for x in batch.column(1):
-                s = np.sort(x.values.to_numpy())
-                cut = np.flatnonzero(np.diff(s) > length) + 1
-                out.append([{"start": int(a), "end": int(b) + length} for a, b in zip(s[np.r_[0, cut]], s[np.r_[cut - 1, len(s) - 1]])])
+                a, b = (x.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], np.maximum.accumulate(b[order])
+                cut = np.flatnonzero(a[1:] > b[:-1]) + 1
+                out.append([{"start": int(i), "end": int(j)} for i, j in zip(a[np.r_[0, cut]], b[np.r_[cut - 1, len(b) - 1]])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["row", "spans"])
 
-    spans = materialise(hit.mapInArrow(merge, "row long, spans array<struct<start:int,end:int>>"), "spans")
-    by_text = groups.join(spans, F.col("least") == F.col("row"), "left").select("digest", "n", "spans")
-    out = lookup_join(materialise(rows.select("row", "doc_id", "digest"), "rows"), by_text, "digest")
-    out = rows.select("row", "text").join(out, "row")
-    return out.select("doc_id", "text", F.when((F.col("n") > 1) & (F.octet_length("text") >= length), full).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))).alias("spans"))
+    spans = materialise(covered.mapInArrow(merge, "row long, spans array<struct<start:int,end:int>>"), "spans")
+    out = rows.join(spans, "row", "left")
+    return out.select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
 
 
 def _each(batches: Iterator[pa.RecordBatch], length: int, bytes_at_once: int = 4 << 20):  # noqa: ANN202
@@ -271,18 +273,21 @@ def _each(batches: Iterator[pa.RecordBatch], length: int, bytes_at_once: int = 4
     rows: list[int] = []
     texts: list[bytes] = []
     wanted: list[np.ndarray] = []
+    weights: list[np.ndarray] = []
 
     def done():  # noqa: ANN202
-        return (*_strings(texts, wanted, length), np.array(rows, np.int64))
+        return (*_strings(texts, wanted, length), np.concatenate(weights), np.array(rows, np.int64))
 
     for batch in batches:
         for row, x, pieces in zip(batch.column(0), batch.column(1), batch.column(2)):
             rows.append(row.as_py())
             texts.append(_bytes(x))
-            wanted.append(np.concatenate([np.arange(p["first"], p["first"] + p["n"]) for p in pieces.as_py()]).astype(np.int64))
+            own = pieces.as_py()
+            wanted.append(np.concatenate([np.arange(p["first"], p["first"] + p["n"]) for p in own]).astype(np.int64))
+            weights.append(np.concatenate([np.full(p["n"], p["weight"]) for p in own]))
             if sum(map(len, wanted)) >= bytes_at_once // 4 or sum(map(len, texts)) >= bytes_at_once:
                 yield done()
-                rows, texts, wanted = [], [], []
+                rows, texts, wanted, weights = [], [], [], []
     if rows:
         yield done()
 
