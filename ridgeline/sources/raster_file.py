@@ -13,18 +13,19 @@ from ridgeline.params import Grid
 
 # Fixed values of the format.
 MAGIC, VERSION = b"HFLY", 1
-_HEADER = struct.Struct("<4sIddfIIdddd")
+_HEADER = "<4sIddfIIdddd"
+_SIZE = struct.calcsize(_HEADER)
 
 
 def header(data: bytes) -> tuple[Grid, tuple[float, float, float, float]]:
-    magic, version, e, n, cell, rows, cols, *box = _HEADER.unpack_from(data)
+    magic, version, e, n, cell, rows, cols, *box = struct.unpack_from(_HEADER, data)
     if magic != MAGIC or version != VERSION:
         raise ValueError(f"not a raster of version {VERSION}: {magic!r}, {version}")
     return Grid(rows, cols, cell, e, n), tuple(box)
 
 
 def encode(grid: Grid, box: tuple[float, float, float, float], heights: np.ndarray) -> bytes:
-    return _HEADER.pack(MAGIC, VERSION, grid.origin_e, grid.origin_n, grid.cell_m, grid.rows, grid.cols, *box) + heights.astype("<f4").tobytes()
+    return struct.pack(_HEADER, MAGIC, VERSION, grid.origin_e, grid.origin_n, grid.cell_m, grid.rows, grid.cols, *box) + heights.astype("<f4").tobytes()
 
 
 def read_raster(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +36,7 @@ def read_raster(spark: SparkSession, path: str) -> DataFrame:
             for name, data in zip(batch.column(0), batch.column(1)):
                 raw = data.as_py()
                 grid, _ = header(raw)
-                z = np.frombuffer(raw, "<f4", grid.rows * grid.cols, _HEADER.size)
+                z = np.frombuffer(raw, "<f4", grid.rows * grid.cols, _SIZE)
                 for at in range(0, grid.rows, band := max(1, 1_000_000 // max(1, grid.cols))):
                     part = z[at * grid.cols : (at + band) * grid.cols].astype(np.float64)
                     cells = np.arange(at * grid.cols, at * grid.cols + len(part))
