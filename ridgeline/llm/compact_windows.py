@@ -38,6 +38,8 @@ HASHES = 5
 SIMILARITY = 0.8
 #: Words by which a near copy may be shifted within one diagonal band.
 BAND = 16
+#: Shingles of several texts handled at a time, about.
+TOGETHER = 50_000
 
 _WORD = re.compile(r"\w+")
 _SEEDS = [np.uint64(xxhash.xxh64_intdigest(b"seed", k) | 1) for k in range(64)]
@@ -98,15 +100,32 @@ def windows(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH) -> Data
     """``signature, function, doc_id, centre, first, last`` of all compact windows, in shingles."""
     least = length - SHINGLE + 1
 
+    def found(ids: list[int], rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        # the texts are put together; zeros between them, less than any hash, end all windows
+        base = np.cumsum([0, *(len(x) + 1 for x in rows)])
+        for f in range(hashes):
+            h = np.zeros(base[-1], np.uint64)
+            for x, at in zip(rows, base):
+                h[at : at + len(x)] = np.maximum(_mixed(x, _SEEDS[f]), np.uint64(1))
+            c, a, b = compact_windows(h, least)
+            real = h[c] > 0
+            c, a, b = c[real], a[real], b[real]
+            own = np.searchsorted(base, c, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(h[c].view(np.int64)), pa.array(np.full(len(c), f, np.int32)), pa.array(np.array(ids, np.int64)[own]), *(pa.array((v - base[own]).astype(np.int32)) for v in (c, a, b))], names=["signature", "function", "doc_id", "centre", "first", "last"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        rows: list[np.ndarray] = []
         for batch in batches:
             for i, x in zip(batch.column(0), batch.column(1)):
-                s = shingle_hashes(x.as_py() or "")
-                for f in range(hashes):
-                    h = _mixed(s, _SEEDS[f])
-                    c, a, b = compact_windows(h, least)
-                    if len(c):
-                        yield pa.RecordBatch.from_arrays([pa.array(h[c].view(np.int64)), pa.array(np.full(len(c), f, np.int32)), pa.array(np.full(len(c), i.as_py())), *(pa.array(v.astype(np.int32)) for v in (c, a, b))], names=["signature", "function", "doc_id", "centre", "first", "last"])
+                if len(s := shingle_hashes(x.as_py() or "")) >= least:
+                    ids.append(i.as_py())
+                    rows.append(s)
+                if rows and sum(map(len, rows[-64:])) + len(rows) * least >= TOGETHER:
+                    yield from found(ids, rows)
+                    ids, rows = [], []
+        if rows:
+            yield from found(ids, rows)
 
     schema = "signature long, function int, doc_id long, centre int, first int, last int"
     return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, schema)
