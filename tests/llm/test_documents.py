@@ -281,3 +281,10 @@ def test_toxicity_of_odd_rows(spark):
     labels = spark.createDataFrame([(i, 0, int(i % 2)) for i in range(10)] + [(None, None, 1), (2, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 10
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
+
+
+def test_a_full_cache_changes_no_ids(documents, monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE_PIECES", 300)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        tool = encoding.PieceEncoder(public_tokenizers.path(name))
+        assert all(tool.encode(t) == tool.whole(t) for _, t in documents[:80])
