@@ -5,10 +5,14 @@ shingles' hashes has a node for every shingle; the node's subtree is the widest
 shingle is the minimum, so it stands for all passages inside that hold the shingle: they share its value as signature.
 Only nodes whose window has the least length of a passage are kept, some ``2 / length`` of all.
 
-Windows with one signature are joined to the one of least document; those of a pair of documents on neighbouring
-diagonals, which agree for enough hash functions on overlapping intervals, are a near-duplicate passage: the share of
-agreeing functions estimates the similarity of the shingle sets, and a signature is the 64-bit hash of five words.
-Linked documents make classes by connected components, so copies are never expanded into pairs.
+Signatures that two documents have are noted in a bitmap of fixed size.  The starts of the passages of least length that
+a window stands for are an interval, and the intervals of a function follow each other without gaps; joining those of
+all functions gives every passage its row of signatures.  Passages that agree for all functions but ``HASHES -
+need`` have one of the rows with that many signatures left out in common, so each such row is a key, and of each
+key the documents are linked to the least one: every two of them agree for enough functions, and no two passages that do
+have no key in common.  The share of agreeing functions estimates the similarity of the shingle sets, and a signature
+is the 64-bit hash of five words.  Linked documents make classes by connected components, so copies are never expanded into
+pairs.
 
 Defined results: a NULL or short text has no passage and is its own class; repeated rows with one identifier are one
 document; a NULL identifier has no class; very long texts are taken whole; an empty table gives no rows; other columns
@@ -19,7 +23,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +41,8 @@ SHINGLE = 5
 LENGTH = 50
 HASHES = 5
 SIMILARITY = 0.8
-#: Words by which a near copy may be shifted within one diagonal band.
-BAND = 16
+#: Bits of the bitmap of shared signatures (32 MB, whatever the input).  Where it fills up more keys are made, and none is lost.
+MAP_BITS = 1 << 28
 #: Shingles of several texts handled at a time, about.
 TOGETHER = 50_000
 
@@ -96,57 +101,121 @@ def compact_windows(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
     return centre[wide], left[wide], right[wide]
 
 
-def windows(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH) -> DataFrame:
-    """``signature, function, doc_id, centre, first, last`` of all compact windows, in shingles."""
-    least = length - SHINGLE + 1
+def window_runs(rows: list[np.ndarray], hashes: int, least: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """For some texts put together: where each begins, and for each function ``(signature, n)`` of its compact windows in
+    order, where ``n`` is the number of passages of ``least`` shingles that a window stands for."""
+    # zeros between the texts, less than any hash, end all windows
+    base = np.cumsum([0, *(len(x) + 1 for x in rows)])
+    whole = np.zeros(base[-1], np.uint64)
+    for x, at in zip(rows, base):
+        whole[at : at + len(x)] = x
+    ends = base[1:] - 1
 
-    def found(ids: list[int], rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        # the texts are put together; zeros between them, less than any hash, end all windows
-        base = np.cumsum([0, *(len(x) + 1 for x in rows)])
+    def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for f in range(hashes):
-            h = np.zeros(base[-1], np.uint64)
-            for x, at in zip(rows, base):
-                h[at : at + len(x)] = np.maximum(_mixed(x, _SEEDS[f]), np.uint64(1))
+            h = np.maximum(_mixed(whole, _SEEDS[f]), np.uint64(1))
+            h[ends] = 0
             c, a, b = compact_windows(h, least)
             real = h[c] > 0
             c, a, b = c[real], a[real], b[real]
-            own = np.searchsorted(base, c, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(h[c].view(np.int64)), pa.array(np.full(len(c), f, np.int32)), pa.array(np.array(ids, np.int64)[own]), *(pa.array((v - base[own]).astype(np.int32)) for v in (c, a, b))], names=["signature", "function", "doc_id", "centre", "first", "last"])
+            yield h[c], np.minimum(c, b - least + 1) - np.maximum(a, c - least + 1) + 1
+
+    return base, each()
+
+
+def passage_keys(ids: np.ndarray, rows: list[np.ndarray], hashes: int, need: int, least: int, shared: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``key, id, first, last``: runs of passages, by their first shingles, that have a key in common."""
+    base, each = window_runs(rows, hashes, least)
+    sizes = np.array([len(x) - least + 1 for x in rows])
+    signatures, known = [], []
+    for h, n in each:
+        signatures.append(np.repeat(h, n))
+        known.append(np.repeat(shared(h), n))
+    own = np.repeat(np.arange(len(rows)), sizes)
+    start = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = []
+    for kept in combinations(range(hashes), need):
+        at = np.flatnonzero(np.logical_and.reduce([known[f] for f in kept]))
+        if not len(at):
+            continue
+        key = np.full(len(at), sum(1 << f for f in kept), np.uint64)
+        for f in kept:
+            key = _mixed(key, _SEEDS[63]) + signatures[f][at]
+        begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (np.diff(at) != 1) | (np.diff(own[at]) != 0)])
+        end = np.r_[begin[1:], len(at)] - 1
+        out.append((key[begin], ids[own[at[begin]]], start[at[begin]], start[at[end]]))
+    if not out:
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _together(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Identifiers and shingles of some texts at a time; those too short for a passage are left out."""
+    ids: list[int] = []
+    rows: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for i, x in zip(batch.column(0), batch.column(1)):
+            if len(s := shingle_hashes(x.as_py() or "")) >= least:
+                ids.append(i.as_py())
+                rows.append(s)
+                size += len(s)
+            if size >= TOGETHER:
+                yield np.array(ids, np.int64), rows
+                ids, rows, size = [], [], 0
+    if rows:
+        yield np.array(ids, np.int64), rows
+
+
+def shared_signatures(docs: DataFrame, hashes: int, least: int) -> np.ndarray:
+    """Bitmap of the signatures that several documents have: ``MAP_BITS`` bits, the place being a signature's low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        rows: list[np.ndarray] = []
-        for batch in batches:
-            for i, x in zip(batch.column(0), batch.column(1)):
-                if len(s := shingle_hashes(x.as_py() or "")) >= least:
-                    ids.append(i.as_py())
-                    rows.append(s)
-                if rows and sum(map(len, rows[-64:])) + len(rows) * least >= TOGETHER:
-                    yield from found(ids, rows)
-                    ids, rows = [], []
-        if rows:
-            yield from found(ids, rows)
-
-    schema = "signature long, function int, doc_id long, centre int, first int, last int"
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, schema)
+        for ids, rows in _together(batches, least):
+            base, each = window_runs(rows, hashes, least)
+            sizes = np.array([len(x) - least + 1 for x in rows])
+            ends = np.cumsum(sizes)
+            for h, n in each:
+                own = np.searchsorted(ends, np.cumsum(n) - n, "right")
+                # a text's windows with one signature count once
+                pairs = np.unique(np.stack([h.view(np.int64), own]), axis=1) if len(h) else np.zeros((2, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(ids[pairs[1]])], names=["signature", "doc_id"])
+
+    found = docs.mapInArrow(run, "signature long, doc_id long").groupBy("signature").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    place = F.col("signature").bitwiseAND(F.lit(MAP_BITS - 1)).alias("place")
+    places = found.filter("a <> b").select(place)
+    blocks = places.groupBy(F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros(MAP_BITS // 8 + 8192, np.uint8)
+    for r in blocks.toLocalIterator():
+        at = int(r["block"]) * 4096
+        out[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def _noted(bits: np.ndarray, signatures: np.ndarray) -> np.ndarray:
+    """Whether the bitmap holds the signatures, at the places at which Spark's bitmap functions put them."""
+    place = (signatures & np.uint64(MAP_BITS - 1)).astype(np.int64)
+    block = np.where(place > 0, 1 + (place - 1) // 32768, 0)
+    bit = np.where(place > 0, (place - 1) % 32768, 0)
+    return (bits[block * 4096 + bit // 8] >> (bit % 8).astype(np.uint8)) & 1 > 0
 
 
 def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, other_id, first_word, last_word, agreeing``: passages that a document shares with one of lesser identifier."""
-    found = materialise(windows(docs, hashes, length), "windows")
-    # the function is in the signature: each mixes the shingle in its own way
-    groups = found.groupBy("signature").agg(F.min(F.struct("doc_id", "centre", "first", "last")).alias("least"), F.max("doc_id").alias("most"))
-    groups = materialise(groups.filter("most <> least.doc_id").select("signature", "least"), "signatures")
-    pairs = lookup_join(found, groups, "signature", "inner").filter("doc_id <> least.doc_id")
-    shift = F.col("centre") - F.col("least.centre")
-    bands = F.array(F.floor(shift / BAND) * 2, F.floor((shift + BAND // 2) / BAND) * 2 + 1)  # overlapping bands
-    # what the windows cover in both documents, seen from the first
-    a = F.greatest(F.col("first"), F.col("least.first") + shift).alias("a")
-    b = F.least(F.col("last"), F.col("least.last") + shift).alias("b")
-    pairs = pairs.select("doc_id", F.col("least.doc_id").alias("other_id"), F.explode(bands).alias("band"), "function", a, b).filter(F.col("b") - F.col("a") >= length - SHINGLE)
-    joined = pairs.groupBy("doc_id", "other_id", "band").agg(F.count_distinct("function").alias("agreeing"), F.min("a").alias("a"), F.max("b").alias("b"))
-    joined = joined.filter(F.col("agreeing") >= math.ceil(hashes * similarity))
-    return joined.groupBy("doc_id", "other_id").agg(F.max("agreeing").alias("agreeing"), F.min("a").cast("long").alias("first_word"), (F.max("b") + SHINGLE - 1).cast("long").alias("last_word"))
+    """``doc_id, other_id, first_word, last_word``: where a document shares passages with one of lesser identifier."""
+    least, need = length - SHINGLE + 1, math.ceil(hashes * similarity)
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
+    bits = docs.sparkSession.sparkContext.broadcast(shared_signatures(texts, hashes, least))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, rows in _together(batches, least):
+            key, own, first, last = passage_keys(ids, rows, hashes, need, least, lambda h: _noted(bits.value, h))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["key", "doc_id", "first", "last"])
+
+    keys = materialise(texts.mapInArrow(run, "key long, doc_id long, first int, last int"), "keys", compression="zstd")
+    groups = keys.groupBy("key").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("most"))
+    groups = materialise(groups.filter("most <> other_id").select("key", "other_id"), "groups", compression="zstd")
+    pairs = lookup_join(keys, groups, "key", "inner").filter("doc_id <> other_id")
+    return pairs.groupBy("doc_id", "other_id").agg(F.min("first").cast("long").alias("first_word"), (F.max("last") + length - 1).cast("long").alias("last_word"))
 
 
 def passage_classes(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, similarity: float = SIMILARITY) -> DataFrame:
