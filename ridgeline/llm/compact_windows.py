@@ -5,14 +5,13 @@ shingles' hashes has a node for every shingle; the node's subtree is the widest
 shingle is the minimum, so it stands for all passages inside that hold the shingle: they share its value as signature.
 Only nodes whose window has the least length of a passage are kept, some ``2 / length`` of all.
 
-Signatures that two documents have are noted in a bitmap of fixed size.  The starts of the passages of least length that
+Signatures that two documents have for the first ``NOTED`` functions are noted in a bitmap of fixed size.  The starts of the passages of least length that
 a window stands for are an interval, and the intervals of a function follow each other without gaps; joining those of
 all functions gives every passage its row of signatures.  Passages that agree for all functions but ``HASHES -
 need`` have one of the rows with that many signatures left out in common, so each such row is a key, and of each
-key the documents are linked to the least one: every two of them agree for enough functions, and no two passages that do
-have no key in common.  The share of agreeing functions estimates the similarity of the shingle sets, and a signature
-is the 64-bit hash of five words.  Linked documents make classes by connected components, so copies are never expanded into
-pairs.
+key the documents are tied to the least one, and the shingles of the tied passages are compared: at least the share
+``similarity`` must be common.  Linked documents make classes by connected components, so copies are never expanded into
+pairs.  A shingle is known by a 64-bit hash of its words.
 
 Defined results: a NULL or short text has no passage and is its own class; repeated rows with one identifier are one
 document; a NULL identifier has no class; very long texts are taken whole; an empty table gives no rows; other columns
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators.components import connected_components
-from ridgeline.operators.skew import lookup_join
+from ridgeline.operators.skew import HEAVY_SHARE, lookup_join
 from ridgeline.scratch import materialise
 
 SHINGLE = 5
@@ -43,6 +42,12 @@ HASHES = 5
 SIMILARITY = 0.8
 #: Bits of the bitmap of shared signatures (32 MB, whatever the input).  Where it fills up more keys are made, and none is lost.
 MAP_BITS = 1 << 28
+#: The same for identifiers of documents (4 MB).
+ID_BITS = 1 << 25
+#: Words by which passages may be shifted within one band of diagonals.
+BAND = 16
+#: Functions whose signatures are noted: more make fewer keys, fewer less to shuffle.
+NOTED = 3
 #: Shingles of several texts handled at a time, about.
 TOGETHER = 50_000
 
@@ -101,41 +106,36 @@ def compact_windows(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
     return centre[wide], left[wide], right[wide]
 
 
-def window_runs(rows: list[np.ndarray], hashes: int, least: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
-    """For some texts put together: where each begins, and for each function ``(signature, n)`` of its compact windows in
-    order, where ``n`` is the number of passages of ``least`` shingles that a window stands for."""
+def window_runs(rows: list[np.ndarray], hashes: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For some texts put together and each function ``(signature, n)`` of its compact windows in order, where ``n`` is the number of passages of ``least`` shingles that a window stands for."""
     # zeros between the texts, less than any hash, end all windows
     base = np.cumsum([0, *(len(x) + 1 for x in rows)])
     whole = np.zeros(base[-1], np.uint64)
     for x, at in zip(rows, base):
         whole[at : at + len(x)] = x
     ends = base[1:] - 1
-
-    def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for f in range(hashes):
-            h = np.maximum(_mixed(whole, _SEEDS[f]), np.uint64(1))
-            h[ends] = 0
-            c, a, b = compact_windows(h, least)
-            real = h[c] > 0
-            c, a, b = c[real], a[real], b[real]
-            yield h[c], np.minimum(c, b - least + 1) - np.maximum(a, c - least + 1) + 1
-
-    return base, each()
+    for f in range(hashes):
+        h = np.maximum(_mixed(whole, _SEEDS[f]), np.uint64(1))
+        h[ends] = 0
+        c, a, b = compact_windows(h, least)
+        real = h[c] > 0
+        c, a, b = c[real], a[real], b[real]
+        yield h[c], np.minimum(c, b - least + 1) - np.maximum(a, c - least + 1) + 1
 
 
 def passage_keys(ids: np.ndarray, rows: list[np.ndarray], hashes: int, need: int, least: int, shared: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``key, id, first, last``: runs of passages, by their first shingles, that have a key in common."""
-    base, each = window_runs(rows, hashes, least)
     sizes = np.array([len(x) - least + 1 for x in rows])
     signatures, known = [], []
-    for h, n in each:
+    for f, (h, n) in enumerate(window_runs(rows, hashes, least)):
         signatures.append(np.repeat(h, n))
-        known.append(np.repeat(shared(h), n))
+        if f < NOTED:
+            known.append(np.repeat(shared(h), n))
     own = np.repeat(np.arange(len(rows)), sizes)
     start = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = []
     for kept in combinations(range(hashes), need):
-        at = np.flatnonzero(np.logical_and.reduce([known[f] for f in kept]))
+        at = np.flatnonzero(np.logical_and.reduce([known[f] for f in kept if f < NOTED], initial=True) & np.ones(len(own), bool))
         if not len(at):
             continue
         key = np.full(len(at), sum(1 << f for f in kept), np.uint64)
@@ -167,14 +167,13 @@ def _together(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[n
         yield np.array(ids, np.int64), rows
 
 
-def shared_signatures(docs: DataFrame, hashes: int, least: int) -> np.ndarray:
+def shared_signatures(docs: DataFrame, functions: int, least: int) -> np.ndarray:
     """Bitmap of the signatures that several documents have: ``MAP_BITS`` bits, the place being a signature's low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, rows in _together(batches, least):
-            base, each = window_runs(rows, hashes, least)
-            sizes = np.array([len(x) - least + 1 for x in rows])
-            ends = np.cumsum(sizes)
+            each = window_runs(rows, functions, least)
+            ends = np.cumsum([len(x) - least + 1 for x in rows])
             for h, n in each:
                 own = np.searchsorted(ends, np.cumsum(n) - n, "right")
                 # a text's windows with one signature count once
@@ -184,38 +183,119 @@ def shared_signatures(docs: DataFrame, hashes: int, least: int) -> np.ndarray:
     found = docs.mapInArrow(run, "signature long, doc_id long").groupBy("signature").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     place = F.col("signature").bitwiseAND(F.lit(MAP_BITS - 1)).alias("place")
     places = found.filter("a <> b").select(place)
-    blocks = places.groupBy(F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    out = np.zeros(MAP_BITS // 8 + 8192, np.uint8)
+    return _bitmap(places, MAP_BITS)
+
+
+def _bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of the numbers from 0 to ``bits`` in the only column; its size is that, whatever the input's."""
+    (place,) = places.columns
+    blocks = places.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(bits // 8 + 8192, np.uint8)
     for r in blocks.toLocalIterator():
         at = int(r["block"]) * 4096
         out[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
-def _noted(bits: np.ndarray, signatures: np.ndarray) -> np.ndarray:
-    """Whether the bitmap holds the signatures, at the places at which Spark's bitmap functions put them."""
-    place = (signatures & np.uint64(MAP_BITS - 1)).astype(np.int64)
+def _noted(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the bitmap holds the numbers, at the places at which Spark's bitmap functions put them."""
     block = np.where(place > 0, 1 + (place - 1) // 32768, 0)
     bit = np.where(place > 0, (place - 1) % 32768, 0)
     return (bits[block * 4096 + bit // 8] >> (bit % 8).astype(np.uint8)) & 1 > 0
 
 
+def _rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``doc_id`` isn't in ``ids``, by a bitmap, so that few need a shuffle."""
+    place = F.col("doc_id").bitwiseAND(F.lit(ID_BITS - 1))
+    bits = rows.sparkSession.sparkContext.broadcast(_bitmap(ids.select(place.alias("place")), ID_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.schema.get_field_index("doc_id")).to_numpy().astype(np.int64) & (ID_BITS - 1)
+            yield batch.filter(pa.array(_noted(bits.value, at)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    """Keys that several documents have, with the least document as ``other_id``, where it has the key, and their rows."""
+    least = F.min(F.struct("doc_id", "first"))
+    groups = rows.groupBy("key").agg(least.alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
+    return materialise(groups.filter("most <> least.doc_id").select("key", F.col("least.doc_id").alias("other_id"), F.col("least.first").alias("other_first"), "n"), "groups", compression="zstd")
+
+
+def _tied(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` beside the least documents of their keys."""
+    # keys that hold more than one row in HEAVY_SHARE are fewer than that, so they are broadcast
+    many = max((groups.agg(F.sum("n")).first()[0] or 0) // HEAVY_SHARE, 100)
+    hot = F.broadcast(groups.filter(F.col("n") > many).drop("n"))
+    cold = groups.filter(F.col("n") <= many).drop("n")
+    joined = rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(cold, "key"))
+    return joined.filter("doc_id <> other_id")
+
+
+def _verified(texts: DataFrame, spots: DataFrame, least: int, similarity: float) -> DataFrame:
+    """``doc_id, other_id, good``: whether the shingles of a spot's two passages are similar, for any of a pair's spots."""
+    ends = spots.select("doc_id", "first").unionByName(spots.select(F.col("other_id").alias("doc_id"), F.col("other_first").alias("first")))
+    ends = materialise(ends.distinct().groupBy("doc_id").agg(F.collect_list("first").alias("places")), "places")
+    known = _rows_of(texts, ends.select("doc_id")).join(ends, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x, places in zip(*batch.columns):
+                h, at = shingle_hashes(x.as_py() or "").view(np.int64), places.as_py()
+                sets = pa.array([np.unique(h[a : a + least]) for a in at if a + least <= len(h)], pa.list_(pa.int64()))
+                at = [a for a in at if a + least <= len(h)]
+                yield pa.RecordBatch.from_arrays([pa.array([{"d": i.as_py(), "p": a} for a in at], pa.struct([("d", pa.int64()), ("p", pa.int32())])), sets], names=["at", "shingles"])
+
+    found = known.select("doc_id", "text", "places").mapInArrow(run, "at struct<d: long, p: int>, shingles array<long>")
+    # rows with one identifier are one document
+    found = materialise(found.dropDuplicates(["at"]), "shingles", compression="zstd")
+    at = lambda d, p: F.struct(F.col(d).alias("d"), F.col(p).alias("p"))
+    pairs = spots.select("doc_id", "other_id", at("doc_id", "first").alias("at"), at("other_id", "other_first").alias("there"))
+    pairs = materialise(pairs.join(found, "at").select("doc_id", "other_id", F.col("there").alias("at"), F.col("shingles").alias("own")), "spots", compression="zstd")
+    both = lookup_join(pairs, found, "at", "inner")
+    alike = F.size(F.array_intersect("own", "shingles")) >= F.lit(similarity) * F.size(F.array_union("own", "shingles"))
+    return both.groupBy("doc_id", "other_id").agg(F.bool_or(alike).alias("good"))
+
+
 def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, other_id, first_word, last_word``: where a document shares passages with one of lesser identifier."""
+    """``doc_id, other_id, first_word, last_word``: where a document shares passages with one of lesser identifier.
+
+    A key's documents are tied to the least of them; ties of a pair are verified, by comparing the shingles of the
+    middle one of its passages on each band of neighbouring diagonals.  What isn't alike is tied again without the
+    least document, until nothing is left, so a document that differs from the rest of a key hides no link.
+    """
     least, need = length - SHINGLE + 1, math.ceil(hashes * similarity)
-    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    bits = docs.sparkSession.sparkContext.broadcast(shared_signatures(texts, hashes, least))
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bits = docs.sparkSession.sparkContext.broadcast(shared_signatures(texts, min(NOTED, hashes), least))
+    mask = np.uint64(MAP_BITS - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, rows in _together(batches, least):
-            key, own, first, last = passage_keys(ids, rows, hashes, need, least, lambda h: _noted(bits.value, h))
+            key, own, first, last = passage_keys(ids, rows, hashes, need, least, lambda h: _noted(bits.value, (h & mask).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["key", "doc_id", "first", "last"])
 
-    keys = materialise(texts.mapInArrow(run, "key long, doc_id long, first int, last int"), "keys", compression="zstd")
-    groups = keys.groupBy("key").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("most"))
-    groups = materialise(groups.filter("most <> other_id").select("key", "other_id"), "groups", compression="zstd")
-    pairs = lookup_join(keys, groups, "key", "inner").filter("doc_id <> other_id")
-    return pairs.groupBy("doc_id", "other_id").agg(F.min("first").cast("long").alias("first_word"), (F.max("last") + length - 1).cast("long").alias("last_word"))
+    rows = materialise(texts.mapInArrow(run, "key long, doc_id long, first int, last int"), "keys", compression="zstd")
+    out = None
+    while True:
+        groups = _least(rows)
+        spots = _tied(rows, groups).groupBy("doc_id", "other_id", (F.col("first") - F.col("other_first")).alias("shift"))
+        spots = spots.agg(F.count(F.lit(1)).alias("n"), F.collect_list("first").alias("places"), F.min("first").alias("a"), F.max("last").alias("b"))
+        middle = F.element_at(F.sort_array("places"), ((F.size("places") + 1) / 2).cast("int"))
+        spots = spots.select("doc_id", "other_id", "shift", "n", middle.alias("first"), "a", "b")
+        best = F.max(F.struct("n", "shift", "first"))
+        spots = spots.groupBy("doc_id", "other_id", F.floor(F.col("shift") / BAND).alias("band")).agg(best.alias("best"), F.min("a").alias("a"), F.max("b").alias("b"))
+        spots = materialise(spots.select("doc_id", "other_id", F.col("best.first").alias("first"), (F.col("best.first") - F.col("best.shift")).alias("other_first"), "a", "b"), "ties")
+        verified = materialise(_verified(texts, spots, least, similarity), "verified")
+        found = spots.join(verified.filter("good"), ["doc_id", "other_id"]).groupBy("doc_id", "other_id")
+        found = found.agg(F.min("a").cast("long").alias("first_word"), (F.max("b") + length - 1).cast("long").alias("last_word"))
+        out = found if out is None else out.unionByName(found)
+        unlike = verified.filter("NOT good").select("doc_id", "other_id")
+        if unlike.isEmpty():
+            return out
+        left = _tied(_rows_of(rows, unlike.select("doc_id")), groups).join(unlike, ["doc_id", "other_id"], "left_semi")
+        rows = materialise(left.select("key", "doc_id", "first", "last"), "keys", compression="zstd")
 
 
 def passage_classes(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, similarity: float = SIMILARITY) -> DataFrame:
