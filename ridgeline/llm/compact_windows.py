@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ MAP_BITS = 1 << 28
 ID_BITS = 1 << 25
 #: Words by which passages may be shifted within one band of diagonals.
 BAND = 16
+#: Times that what isn't alike is tied again.  What is left after that is not linked: None ties until nothing is left.
+ROUNDS = 3
 #: Functions whose signatures are noted: more make fewer keys, fewer less to shuffle.
 NOTED = 3
 #: Shingles of several texts handled at a time, about.
@@ -172,13 +174,10 @@ def shared_signatures(docs: DataFrame, functions: int, least: int) -> np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, rows in _together(batches, least):
-            each = window_runs(rows, functions, least)
             ends = np.cumsum([len(x) - least + 1 for x in rows])
-            for h, n in each:
+            for h, n in window_runs(rows, functions, least):
                 own = np.searchsorted(ends, np.cumsum(n) - n, "right")
-                # a text's windows with one signature count once
-                pairs = np.unique(np.stack([h.view(np.int64), own]), axis=1) if len(h) else np.zeros((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(ids[pairs[1]])], names=["signature", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[own])], names=["signature", "doc_id"])
 
     found = docs.mapInArrow(run, "signature long, doc_id long").groupBy("signature").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     place = F.col("signature").bitwiseAND(F.lit(MAP_BITS - 1)).alias("place")
@@ -234,11 +233,11 @@ def _tied(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.filter("doc_id <> other_id")
 
 
-def _verified(texts: DataFrame, spots: DataFrame, least: int, similarity: float) -> DataFrame:
-    """``doc_id, other_id, good``: whether the shingles of a spot's two passages are similar, for any of a pair's spots."""
+def _verified(texts: DataFrame, spots: DataFrame, least: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, other_id, good``: whether the shingles of a spot's two passages are similar, for any of a pair's spots; and the texts."""
     ends = spots.select("doc_id", "first").unionByName(spots.select(F.col("other_id").alias("doc_id"), F.col("other_first").alias("first")))
     ends = materialise(ends.distinct().groupBy("doc_id").agg(F.collect_list("first").alias("places")), "places")
-    known = _rows_of(texts, ends.select("doc_id")).join(ends, "doc_id")
+    texts = materialise(_rows_of(texts, ends.select("doc_id")), "texts", compression="zstd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +247,7 @@ def _verified(texts: DataFrame, spots: DataFrame, least: int, similarity: float)
                 at = [a for a in at if a + least <= len(h)]
                 yield pa.RecordBatch.from_arrays([pa.array([{"d": i.as_py(), "p": a} for a in at], pa.struct([("d", pa.int64()), ("p", pa.int32())])), sets], names=["at", "shingles"])
 
-    found = known.select("doc_id", "text", "places").mapInArrow(run, "at struct<d: long, p: int>, shingles array<long>")
+    found = texts.join(ends, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "at struct<d: long, p: int>, shingles array<long>")
     # rows with one identifier are one document
     found = materialise(found.dropDuplicates(["at"]), "shingles", compression="zstd")
     at = lambda d, p: F.struct(F.col(d).alias("d"), F.col(p).alias("p"))
@@ -256,15 +255,16 @@ def _verified(texts: DataFrame, spots: DataFrame, least: int, similarity: float)
     pairs = materialise(pairs.join(found, "at").select("doc_id", "other_id", F.col("there").alias("at"), F.col("shingles").alias("own")), "spots", compression="zstd")
     both = lookup_join(pairs, found, "at", "inner")
     alike = F.size(F.array_intersect("own", "shingles")) >= F.lit(similarity) * F.size(F.array_union("own", "shingles"))
-    return both.groupBy("doc_id", "other_id").agg(F.bool_or(alike).alias("good"))
+    return materialise(both.groupBy("doc_id", "other_id").agg(F.bool_or(alike).alias("good")), "verified"), texts
 
 
-def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, similarity: float = SIMILARITY) -> DataFrame:
+def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, other_id, first_word, last_word``: where a document shares passages with one of lesser identifier.
 
     A key's documents are tied to the least of them; ties of a pair are verified, by comparing the shingles of the
     middle one of its passages on each band of neighbouring diagonals.  What isn't alike is tied again without the
-    least document, until nothing is left, so a document that differs from the rest of a key hides no link.
+    least document, so that a document that differs from the rest of a key hides no link, for ``rounds`` rounds (None:
+    until nothing is left); the texts that a round needs are fewer each time.
     """
     least, need = length - SHINGLE + 1, math.ceil(hashes * similarity)
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -278,7 +278,7 @@ def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, simila
 
     rows = materialise(texts.mapInArrow(run, "key long, doc_id long, first int, last int"), "keys", compression="zstd")
     out = None
-    while True:
+    for done in count(1):
         groups = _least(rows)
         spots = _tied(rows, groups).groupBy("doc_id", "other_id", (F.col("first") - F.col("other_first")).alias("shift"))
         spots = spots.agg(F.count(F.lit(1)).alias("n"), F.collect_list("first").alias("places"), F.min("first").alias("a"), F.max("last").alias("b"))
@@ -287,12 +287,12 @@ def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, simila
         best = F.max(F.struct("n", "shift", "first"))
         spots = spots.groupBy("doc_id", "other_id", F.floor(F.col("shift") / BAND).alias("band")).agg(best.alias("best"), F.min("a").alias("a"), F.max("b").alias("b"))
         spots = materialise(spots.select("doc_id", "other_id", F.col("best.first").alias("first"), (F.col("best.first") - F.col("best.shift")).alias("other_first"), "a", "b"), "ties")
-        verified = materialise(_verified(texts, spots, least, similarity), "verified")
+        verified, texts = _verified(texts, spots, least, similarity)
         found = spots.join(verified.filter("good"), ["doc_id", "other_id"]).groupBy("doc_id", "other_id")
         found = found.agg(F.min("a").cast("long").alias("first_word"), (F.max("b") + length - 1).cast("long").alias("last_word"))
         out = found if out is None else out.unionByName(found)
         unlike = verified.filter("NOT good").select("doc_id", "other_id")
-        if unlike.isEmpty():
+        if done == rounds or unlike.isEmpty():
             return out
         left = _tied(_rows_of(rows, unlike.select("doc_id")), groups).join(unlike, ["doc_id", "other_id"], "left_semi")
         rows = materialise(left.select("key", "doc_id", "first", "last"), "keys", compression="zstd")
