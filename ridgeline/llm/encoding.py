@@ -73,9 +73,10 @@ class PieceEncoder:
         if len(self.cache) > CACHE_PIECES:
             self.old, self.cache = self.cache, {}
         if new := set(pieces).difference(self.cache):
-            for x in new.intersection(self.old):
-                self.cache[x] = self.old[x]
-            if unknown := new.difference(self.old):
+            for x in new:
+                if x in self.old:
+                    self.cache[x] = self.old[x]
+            if unknown := new.difference(self.cache):
                 self._learn(list(unknown))
         out = b"".join(map(self.cache.__getitem__, pieces))
         for x in [x for x in new if len(x) > LONG_PIECE]:
