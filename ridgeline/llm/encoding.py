@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -12,6 +13,8 @@ import numpy as np
 CACHE_PIECES = 300_000
 #: Longer pieces aren't kept.
 LONG_PIECE = 100
+#: Characters of the texts whose new pieces are learned together; a longer text goes alone.
+TOGETHER = 1_000_000
 
 #: Texts that go to the library whole: other white space than space and newline, or letters beyond the Latin blocks,
 #: for which the character classes used here and in the library might be of different Unicode versions.
@@ -67,18 +70,30 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if _WHOLE.search(text):
-            return self.whole(text)
-        pieces = self.pieces(text.lower() if self.word_level else text)
+        return self._together([text])[0]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text; pieces new to some texts are learned together, which costs the library less."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._together(some)
+                some, size = [], 0
+        yield from self._together(some)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        pieces = [None if _WHOLE.search(x) else self.pieces(x.lower() if self.word_level else x) for x in texts]
         if len(self.cache) > CACHE_PIECES:
             self.old, self.cache = self.cache, {}
-        if new := set(pieces).difference(self.cache):
-            for x in new:
-                if x in self.old:
-                    self.cache[x] = self.old[x]
-            if unknown := new.difference(self.cache):
-                self._learn(list(unknown))
-        out = b"".join(map(self.cache.__getitem__, pieces))
+        if new := set().union(*filter(None, pieces)).difference(self.cache):
+            met = new.intersection(self.old)
+            self.cache.update((x, self.old[x]) for x in met)
+            if unknown := list(new.difference(met)):
+                self._learn(unknown)
+        known = self.cache.__getitem__
+        out = [self.whole(x) if p is None else b"".join(map(known, p)) for x, p in zip(texts, pieces)]
         for x in [x for x in new if len(x) > LONG_PIECE]:
             del self.cache[x]
         return out

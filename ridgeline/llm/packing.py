@@ -156,8 +156,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int = 102
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
-        documents = ((i.as_py(), tool.encode(t.as_py() or "") + end) for b in batches for i, t in zip(b.column(0), b.column(1)))
-        yield from _batches(pack(documents, size), TaskContext.get().partitionId(), digest)
+
+        def documents() -> Iterator[tuple[int | None, bytes]]:
+            for b in batches:
+                ids = tool.encode_all(x.as_py() or "" for x in b.column(1))
+                yield from ((i.as_py(), x + end) for i, x in zip(b.column(0), ids))
+
+        yield from _batches(pack(documents(), size), TaskContext.get().partitionId(), digest)
 
     schema = PIECE_SCHEMA.replace("ids array<int>", "ids_crc32 long") if digest else PIECE_SCHEMA
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -50,11 +50,11 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            at = 0
+            at, ids = 0, tool.encode_all(x.as_py() or "" for x in batch.column("_text"))
             while at < batch.num_rows:
                 encoded, size, first = [], 0, at
                 while at < batch.num_rows and size < 4 * BATCH_IDS:
-                    encoded.append(tool.encode(batch.column("_text")[at].as_py() or "") + end)
+                    encoded.append(next(ids) + end)
                     size, at = size + len(encoded[-1]), at + 1
                 n = np.asarray([len(x) // 4 for x in encoded], np.int64)
                 starts = start + np.cumsum(n) - n

@@ -288,3 +288,11 @@ def test_a_full_cache_changes_no_ids(documents, monkeypatch):
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         tool = encoding.PieceEncoder(public_tokenizers.path(name))
         assert all(tool.encode(t) == tool.whole(t) for _, t in documents[:80])
+
+
+def test_texts_encoded_together_have_their_own_ids(documents, monkeypatch):
+    monkeypatch.setattr(encoding, "TOGETHER", 5000)
+    texts = [t for _, t in documents[:80]] + ["", "tab\tseparated", "x" * 300]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        tool = encoding.PieceEncoder(public_tokenizers.path(name))
+        assert list(tool.encode_all(iter(texts))) == [tool.whole(t) for t in texts]
