@@ -14,7 +14,7 @@ CACHE_PIECES = 300_000
 #: Longer pieces aren't kept.
 LONG_PIECE = 100
 #: Characters of the texts whose new pieces are learned together; a longer text goes alone.
-TOGETHER = 1_000_000
+TOGETHER = 100_000
 
 #: Texts that go to the library whole: other white space than space and newline, or letters beyond the Latin blocks,
 #: for which the character classes used here and in the library might be of different Unicode versions.
@@ -24,9 +24,19 @@ _L, _N = r"A-Za-zªµºÀ-ÖØ-öø-\u024f", r"0-9²³¹¼-¾"
 #: The patterns by which the two kinds of tokenizer files cut a text.
 _WORD_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ \n{_L}{_N}]+"
 _BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n{_L}{_N}]+|[ \n]+(?![^ \n])|[ \n]+"
+#: What ``_WHOLE`` finds among the characters below 256.
+_ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
+def _goes_whole(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_WHOLE.search(text))
+    return any(c in text for c in _ODD)
+
+
 class PieceEncoder:
     """Encodes texts as the tokenizers library does, looking up each piece that it has met before.
 
@@ -84,7 +94,7 @@ class PieceEncoder:
         yield from self._together(some)
 
     def _together(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if _WHOLE.search(x) else self.pieces(x.lower() if self.word_level else x) for x in texts]
+        pieces = [None if _goes_whole(x) else self.pieces(x.lower() if self.word_level else x) for x in texts]
         if len(self.cache) > CACHE_PIECES:
             self.old, self.cache = self.cache, {}
         if new := set().union(*filter(None, pieces)).difference(self.cache):
