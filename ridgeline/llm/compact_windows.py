@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations, count
 
 import numpy as np
@@ -44,8 +45,8 @@ SIMILARITY = 0.8
 MAP_BITS = 1 << 28
 #: The same for identifiers of documents (4 MB).
 ID_BITS = 1 << 25
-#: Words by which passages may be shifted within one band of diagonals.
-BAND = 16
+#: Places of a pair are compared together within so many times the shingles of a passage.
+JOINED = 3
 #: Times that what isn't alike is tied again.  What is left after that is not linked: None ties until nothing is left.
 ROUNDS = 3
 #: Functions whose signatures are noted: more make fewer keys, fewer less to shuffle.
@@ -125,8 +126,16 @@ def window_runs(rows: list[np.ndarray], hashes: int, least: int) -> Iterator[tup
         yield h[c], np.minimum(c, b - least + 1) - np.maximum(a, c - least + 1) + 1
 
 
-def passage_keys(ids: np.ndarray, rows: list[np.ndarray], hashes: int, need: int, least: int, shared: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``key, id, first, last``: runs of passages, by their first shingles, that have a key in common."""
+def _spans(rows: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that hashes the shingles from one place to another, ends exclusive, of texts put one after another."""
+    x = _mixed(np.concatenate([np.zeros(0, np.uint64), *rows]), _SEEDS[62])
+    power, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(len(x), base, np.uint64)]) for base in (_SEEDS[61], np.uint64(pow(int(_SEEDS[61]), -1, 1 << 64))))
+    total = np.r_[np.uint64(0), np.cumsum(x * power[:-1])]
+    return lambda a, b: _mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64), _SEEDS[60])
+
+
+def passage_keys(ids: np.ndarray, rows: list[np.ndarray], hashes: int, need: int, least: int, shared: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``key, id, first, last, span``: runs of passages, by their first shingles, that have a key in common, and a hash of all shingles in them."""
     sizes = np.array([len(x) - least + 1 for x in rows])
     signatures, known = [], []
     for f, (h, n) in enumerate(window_runs(rows, hashes, least)):
@@ -135,6 +144,8 @@ def passage_keys(ids: np.ndarray, rows: list[np.ndarray], hashes: int, need: int
             known.append(np.repeat(shared(h), n))
     own = np.repeat(np.arange(len(rows)), sizes)
     start = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    base = np.cumsum([0, *map(len, rows)])[own] + start
+    span = _spans(rows)
     out = []
     for kept in combinations(range(hashes), need):
         at = np.flatnonzero(np.logical_and.reduce([known[f] for f in kept if f < NOTED], initial=True) & np.ones(len(own), bool))
@@ -145,12 +156,64 @@ def passage_keys(ids: np.ndarray, rows: list[np.ndarray], hashes: int, need: int
             key = _mixed(key, _SEEDS[63]) + signatures[f][at]
         begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (np.diff(at) != 1) | (np.diff(own[at]) != 0)])
         end = np.r_[begin[1:], len(at)] - 1
-        out.append((key[begin], ids[own[at[begin]]], start[at[begin]], start[at[end]]))
+        out.append((key[begin], ids[own[at[begin]]], start[at[begin]], start[at[end]], span(base[at[begin]], base[at[end]] + least)))
     if not out:
-        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _alike(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> bool:
+    """Whether any window of ``least`` shingles of one row is similar to any of the other."""
+    if len(x) < least or len(y) < least:
+        return False
+    both = np.intersect1d(x, y)
+
+    def windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which shingles of both rows each window holds, and how many distinct ones in all."""
+        number = np.unique(h, return_inverse=True)[1]
+        order = np.argsort(number, kind="stable")
+        before = np.full(len(h), -1)
+        again = np.flatnonzero(np.diff(number[order]) == 0) + 1
+        before[order[again]] = order[again - 1]
+        # a place is new to the windows that start after the place before it with its shingle
+        change = np.zeros(len(h) + 1, np.int64)
+        np.add.at(change, np.maximum(before + 1, np.arange(len(h)) - least + 1).clip(0), 1)
+        np.add.at(change, np.arange(len(h)) + 1, -1)
+        size = np.cumsum(change)[: len(h) - least + 1]
+        at = np.flatnonzero(np.isin(h, both))
+        held = np.zeros((len(h) + 1, len(both)), np.float32)
+        held[at + 1, np.searchsorted(both, h[at])] = 1
+        held = held.cumsum(axis=0)
+        return (held[least:] - held[:-least] > 0).astype(np.float32), size
+
+    distinct = [len(np.unique(h)) - (len(h) - least) for h in (x, y)]  # a window has so many at least
+    if not len(both) or len(both) < similarity * (max(1, distinct[0]) + max(1, distinct[1]) - len(both)):
+        return False
+    (a, n), (b, m) = windows(x), windows(y)
+    common = (a @ b.T).astype(np.float64)
+    return bool((common >= similarity * (n[:, None] + m[None, :] - common)).any())
+
+
+def alike_at(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int, int, int]], least: int, similarity: float) -> bool:
+    """Whether windows that start in the ranges ``first, last, other_first, other_last`` of some place, ends inclusive, are similar."""
+    boxes: list[list[int]] = []
+    for a, b, c, d in sorted(places):
+        if boxes:
+            i, j, k, l = boxes[-1]  # noqa: E741
+            i, j, k, l = min(i, a), max(j, b), min(k, c), max(l, d)  # noqa: E741
+            if j - i < JOINED * least and l - k < JOINED * least:
+                boxes[-1] = [i, j, k, l]
+                continue
+        boxes.append([a, b, c, d])
+
+    def blocks(h: np.ndarray, a: int, b: int) -> list[np.ndarray]:
+        """The windows from a to b, some at a time; equal ones, as in texts that repeat themselves, once."""
+        step = JOINED * least
+        return list({(part := h[k : min(k + step, b + 1) + least - 1]).tobytes(): part for k in range(a, b + 1, step)}.values())
+
+    return any(_alike(u, v, least, similarity) for a, b, c, d in boxes for u in blocks(x, a, b) for v in blocks(y, c, d))
+
+
 def _together(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Identifiers and shingles of some texts at a time; those too short for a passage are left out."""
     ids: list[int] = []
@@ -218,9 +281,9 @@ def _rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _least(rows: DataFrame) -> DataFrame:
     """Keys that several documents have, with the least document as ``other_id``, where it has the key, and their rows."""
-    least = F.min(F.struct("doc_id", "first"))
-    groups = rows.groupBy("key").agg(least.alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
-    return materialise(groups.filter("most <> least.doc_id").select("key", F.col("least.doc_id").alias("other_id"), F.col("least.first").alias("other_first"), "n"), "groups", compression="zstd")
+    least = F.min(F.struct("doc_id", "first", "last", "span"))
+    groups = rows.groupBy("key").agg(least.alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).filter("most <> least.doc_id")
+    return materialise(groups.select("key", *(F.col(f"least.{x}").alias(f"other_{x.removeprefix('doc_')}") for x in ("doc_id", "first", "last", "span")), "n"), "groups", compression="zstd")
 
 
 def _tied(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -233,36 +296,41 @@ def _tied(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.filter("doc_id <> other_id")
 
 
-def _verified(texts: DataFrame, spots: DataFrame, least: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, other_id, good``: whether the shingles of a spot's two passages are similar, for any of a pair's spots; and the texts."""
-    ends = spots.select("doc_id", "first").unionByName(spots.select(F.col("other_id").alias("doc_id"), F.col("other_first").alias("first")))
-    ends = materialise(ends.distinct().groupBy("doc_id").agg(F.collect_list("first").alias("places")), "places")
-    texts = materialise(_rows_of(texts, ends.select("doc_id")), "texts", compression="zstd")
+def _pairs(tied: DataFrame) -> DataFrame:
+    """Pairs of documents with the ends of their passages, whether a run of one equals a run of the other, and all places where their runs differ."""
+    differ = F.when(F.col("span") != F.col("other_span"), F.struct("first", "last", "other_first", "other_last"))
+    same = F.bool_or(F.col("span") == F.col("other_span")).alias("same")
+    return tied.groupBy("doc_id", "other_id").agg(same, F.min("first").alias("a"), F.max("last").alias("b"), F.collect_set(differ).alias("places"))
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, least: int, similarity: float) -> DataFrame:
+    """``doc_id, other_id, good``: whether a pair has similar passages at any of its places, all of which are compared unless one is found first."""
+    settled = pairs.filter("same").select("doc_id", "other_id", F.lit(True).alias("good"))
+    pairs = pairs.filter("NOT same").select("doc_id", "other_id", "places")
+    # an identifier's rows are one document: each of its texts is looked at
+    texts = _rows_of(texts, pairs.select("doc_id").unionByName(pairs.select(F.col("other_id").alias("doc_id")))).dropDuplicates(["doc_id", "text"])
+    texts = materialise(texts, "texts", compression="zstd")
+    half = materialise(lookup_join(pairs, texts, "doc_id", "inner"), "half", compression="zstd")
+    both = lookup_join(half, texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other")), "other_id", "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = lru_cache(256)(shingle_hashes)
         for batch in batches:
-            for i, x, places in zip(*batch.columns):
-                h, at = shingle_hashes(x.as_py() or "").view(np.int64), places.as_py()
-                sets = pa.array([np.unique(h[a : a + least]) for a in at if a + least <= len(h)], pa.list_(pa.int64()))
-                at = [a for a in at if a + least <= len(h)]
-                yield pa.RecordBatch.from_arrays([pa.array([{"d": i.as_py(), "p": a} for a in at], pa.struct([("d", pa.int64()), ("p", pa.int32())])), sets], names=["at", "shingles"])
-
-    found = texts.join(ends, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "at struct<d: long, p: int>, shingles array<long>")
-    # rows with one identifier are one document
-    found = materialise(found.dropDuplicates(["at"]), "shingles", compression="zstd")
-    at = lambda d, p: F.struct(F.col(d).alias("d"), F.col(p).alias("p"))
-    pairs = spots.select("doc_id", "other_id", at("doc_id", "first").alias("at"), at("other_id", "other_first").alias("there"))
-    pairs = materialise(pairs.join(found, "at").select("doc_id", "other_id", F.col("there").alias("at"), F.col("shingles").alias("own")), "spots", compression="zstd")
-    both = lookup_join(pairs, found, "at", "inner")
-    alike = F.size(F.array_intersect("own", "shingles")) >= F.lit(similarity) * F.size(F.array_union("own", "shingles"))
-    return materialise(both.groupBy("doc_id", "other_id").agg(F.bool_or(alike).alias("good")), "verified"), texts
+            good = []
+            for places, text, other in zip(*(batch.column(k) for k in (2, 3, 4))):
+                at = [tuple(p.values()) for p in places.as_py()]
+                good.append(alike_at(shingles(text.as_py() or ""), shingles(other.as_py() or ""), at, least, similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["doc_id", "other_id", "good"])
+
+    found = both.select("doc_id", "other_id", "places", "text", "other").mapInArrow(run, "doc_id long, other_id long, good boolean")
+    return materialise(settled.unionByName(found.groupBy("doc_id", "other_id").agg(F.bool_or("good").alias("good"))), "verified")
 
 
 def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, other_id, first_word, last_word``: where a document shares passages with one of lesser identifier.
 
-    A key's documents are tied to the least of them; ties of a pair are verified, by comparing the shingles of the
-    middle one of its passages on each band of neighbouring diagonals.  What isn't alike is tied again without the
+    A key's documents are tied to the least of them; a pair is verified by comparing all windows of the runs of
+    passages that have a key in common, unless two of its runs are equal, by a hash of their shingles.  What isn't alike is tied again without the
     least document, so that a document that differs from the rest of a key hides no link, for ``rounds`` rounds (None:
     until nothing is left); the texts that a round needs are fewer each time.
     """
@@ -273,29 +341,23 @@ def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, simila
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, rows in _together(batches, least):
-            key, own, first, last = passage_keys(ids, rows, hashes, need, least, lambda h: _noted(bits.value, (h & mask).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["key", "doc_id", "first", "last"])
+            key, own, first, last, span = passage_keys(ids, rows, hashes, need, least, lambda h: _noted(bits.value, (h & mask).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(span.view(np.int64))], names=["key", "doc_id", "first", "last", "span"])
 
-    rows = materialise(texts.mapInArrow(run, "key long, doc_id long, first int, last int"), "keys", compression="zstd")
+    rows = materialise(texts.mapInArrow(run, "key long, doc_id long, first int, last int, span long"), "keys", compression="zstd")
     out = None
     for done in count(1):
         groups = _least(rows)
-        spots = _tied(rows, groups).groupBy("doc_id", "other_id", (F.col("first") - F.col("other_first")).alias("shift"))
-        spots = spots.agg(F.count(F.lit(1)).alias("n"), F.collect_list("first").alias("places"), F.min("first").alias("a"), F.max("last").alias("b"))
-        middle = F.element_at(F.sort_array("places"), ((F.size("places") + 1) / 2).cast("int"))
-        spots = spots.select("doc_id", "other_id", "shift", "n", middle.alias("first"), "a", "b")
-        best = F.max(F.struct("n", "shift", "first"))
-        spots = spots.groupBy("doc_id", "other_id", F.floor(F.col("shift") / BAND).alias("band")).agg(best.alias("best"), F.min("a").alias("a"), F.max("b").alias("b"))
-        spots = materialise(spots.select("doc_id", "other_id", F.col("best.first").alias("first"), (F.col("best.first") - F.col("best.shift")).alias("other_first"), "a", "b"), "ties")
-        verified, texts = _verified(texts, spots, least, similarity)
-        found = spots.join(verified.filter("good"), ["doc_id", "other_id"]).groupBy("doc_id", "other_id")
-        found = found.agg(F.min("a").cast("long").alias("first_word"), (F.max("b") + length - 1).cast("long").alias("last_word"))
+        pairs = materialise(_pairs(_tied(rows, groups)), "ties", compression="zstd")
+        verified = _verified(texts, pairs, least, similarity)
+        found = pairs.join(verified.filter("good"), ["doc_id", "other_id"])
+        found = found.select("doc_id", "other_id", F.col("a").cast("long").alias("first_word"), (F.col("b") + length - 1).cast("long").alias("last_word"))
         out = found if out is None else out.unionByName(found)
         unlike = verified.filter("NOT good").select("doc_id", "other_id")
         if done == rounds or unlike.isEmpty():
             return out
         left = _tied(_rows_of(rows, unlike.select("doc_id")), groups).join(unlike, ["doc_id", "other_id"], "left_semi")
-        rows = materialise(left.select("key", "doc_id", "first", "last"), "keys", compression="zstd")
+        rows = materialise(left.select("key", "doc_id", "first", "last", "span"), "keys", compression="zstd")
 
 
 def passage_classes(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, similarity: float = SIMILARITY) -> DataFrame:
