@@ -10,7 +10,7 @@ a window stands for are an interval, and the intervals of a function follow each
 all functions gives every passage its row of signatures.  Passages that agree for all functions but ``HASHES -
 need`` have one of the rows with that many signatures left out in common, so each such row is a key, and of each
 key the documents are tied to the least one, and the shingles of the tied passages are compared: at least the share
-``similarity`` must be common.  Linked documents make classes by connected components, so copies are never expanded into
+``similarity`` must be common.  What that leaves in several classes is compared with the rest of the key.  Linked documents make classes by connected components, so copies are never expanded into
 pairs.  A shingle is known by a 64-bit hash of its words.
 
 Defined results: a NULL or short text has no passage and is its own class; repeated rows with one identifier are one
@@ -24,7 +24,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import combinations, count
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +47,10 @@ MAP_BITS = 1 << 28
 ID_BITS = 1 << 25
 #: Places of a pair are compared together within so many times the shingles of a passage.
 JOINED = 3
-#: Times that what isn't alike is tied again.  What is left after that is not linked: None ties until nothing is left.
-ROUNDS = 3
+#: Runs of a key that are joined with the key's others at a time.
+DEALT = 500
+#: Counters that order shingles by how common they are, by which runs are told apart; more tell more, and any order is exact.
+COUNTERS = 1 << 20
 #: Functions whose signatures are noted: more make fewer keys, fewer less to shuffle.
 NOTED = 3
 #: Shingles of several texts handled at a time, about.
@@ -267,13 +269,14 @@ def _noted(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def _rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``doc_id`` isn't in ``ids``, by a bitmap, so that few need a shuffle."""
-    place = F.col("doc_id").bitwiseAND(F.lit(ID_BITS - 1))
+    """``rows`` without most of those whose column named like that of ``ids`` isn't in ``ids``, by a bitmap, so that few need a shuffle."""
+    (name,) = ids.columns
+    place = F.col(name).bitwiseAND(F.lit(ID_BITS - 1))
     bits = rows.sparkSession.sparkContext.broadcast(_bitmap(ids.select(place.alias("place")), ID_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(batch.schema.get_field_index("doc_id")).to_numpy().astype(np.int64) & (ID_BITS - 1)
+            at = batch.column(batch.schema.get_field_index(name)).to_numpy().astype(np.int64) & (ID_BITS - 1)
             yield batch.filter(pa.array(_noted(bits.value, at)))
 
     return rows.mapInArrow(run, rows.schema)
@@ -326,13 +329,109 @@ def _verified(texts: DataFrame, pairs: DataFrame, least: int, similarity: float)
     return materialise(settled.unionByName(found.groupBy("doc_id", "other_id").agg(F.bool_or("good").alias("good"))), "verified")
 
 
-def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def _classes(rows: DataFrame, classes: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the class of the document in ``column`` as ``name``; a document without links is its own."""
+    found = lookup_join(rows, classes.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left")
+    return found.withColumn(name, F.coalesce(name, column))
+
+
+def _open_rows(rows: DataFrame, groups: DataFrame, unlike: DataFrame, classes: DataFrame) -> DataFrame:
+    """All rows, with their classes, of keys whose documents aren't in one class yet."""
+    apart = materialise(_classes(unlike, classes, "doc_id", "class"), "apart")
+    apart = materialise(_classes(apart, classes, "other_id", "other_class").filter("class <> other_class").select("doc_id", "other_id"), "apart")
+    ties = _tied(_rows_of(rows, apart.select("doc_id")), groups.select("key", "other_id", "n")).select("key", "doc_id", "other_id")
+    keys = materialise(ties.join(apart, ["doc_id", "other_id"], "left_semi").select("key").distinct(), "open-keys")
+    some = materialise(_rows_of(rows, keys), "some", compression="zstd")
+    some = materialise(lookup_join(some, keys, "key", "inner"), "open", compression="zstd")
+    return materialise(_classes(some, classes, "doc_id", "class"), "open", compression="zstd")
+
+
+def _equal_runs(rows: DataFrame) -> DataFrame:
+    """Rows beside the least document that has an equal run for their key."""
+    rows = materialise(rows.withColumn("run", F.struct("key", "span")), "runs", compression="zstd")
+    least = rows.groupBy("run").agg(F.min(F.struct("doc_id", "class", "first", "last")).alias("least"))
+    least = least.select("run", *(F.col(f"least.{x}").alias(f"other_{x.removeprefix('doc_')}") for x in ("doc_id", "class", "first", "last")))
+    return lookup_join(rows, least, "run", "inner").withColumn("other_span", F.col("span")).filter("doc_id <> other_id")
+
+
+def rare_shingles(h: np.ndarray, rank: np.ndarray, least: int, similarity: float) -> np.ndarray:
+    """Shingles of which similar windows of two rows have one in common: of each window the first by ``rank``, as many as may be missing and one more."""
+    order = np.lexsort((h, rank))
+    sorted_h = h[order]
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(np.r_[False, sorted_h[1:] != sorted_h[:-1]])
+    rows = np.sort(np.lib.stride_tricks.sliding_window_view(number, least), axis=1)
+    new = np.c_[np.ones(len(rows), bool), rows[:, 1:] != rows[:, :-1]]
+    n = new.sum(axis=1)
+    taken = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    first = new & (np.cumsum(new, axis=1) <= taken[:, None])
+    values = sorted_h[np.flatnonzero(np.r_[True, sorted_h[1:] != sorted_h[:-1]])]
+    return values[np.unique(rows[first])]
+
+
+def _rare(runs: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
+    """``at, rare``: for each run ``struct(doc_id, first, last)`` its rare shingles, each once."""
+    places = runs.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("places"))
+    texts = _rows_of(texts, runs.select("doc_id")).dropDuplicates(["doc_id", "text"])
+    work = materialise(texts.join(places, "doc_id").select("doc_id", "text", "places"), "runs", compression="zstd")
+
+    def each(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        for i, x, places in zip(*batch.columns):
+            h = shingle_hashes(x.as_py() or "")
+            for p in places.as_py():
+                part = h[p["first"] : p["last"] + least]
+                if len(part) >= least:
+                    yield i.as_py(), p["first"], p["last"], part
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for *_, part in each(batch):
+                np.add.at(total, (part & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["place", "n"])
+
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in work.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["place"]] = r["n"]
+    known = runs.sparkSession.sparkContext.broadcast(counts)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, a, b, part in each(batch):
+                found = rare_shingles(part, known.value[(part & np.uint64(COUNTERS - 1)).astype(np.int64)], least, similarity)
+                columns = [pa.array(np.full(len(found), x)) for x in (i, a, b)]
+                yield pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.int32()), columns[2].cast(pa.int32()), pa.array(found.view(np.int64))], names=["doc_id", "first", "last", "rare"])
+
+    return work.mapInArrow(pick, "doc_id long, first int, last int, rare long").distinct()
+
+
+def _across(rows: DataFrame, groups: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Runs of a key that differ and are in different classes; those that the key's ties were compared with are left out, and those that no rare shingle is common to can't be alike."""
+    one = rows.groupBy("key", "class", "span").agg(F.min(F.struct("doc_id", "first", "last")).alias("at"))
+    done = groups.select("key", F.col("other_span").alias("span"))
+    one = materialise(one.join(_rows_of(done, rows.select("key").distinct()), ["key", "span"], "left_anti").select("key", "class", "span", "at.*"), "one", compression="zstd")
+    mixed = one.groupBy("key").agg(F.min("class").alias("u"), F.max("class").alias("v")).filter("u <> v").select("key")
+    one = materialise(lookup_join(one, mixed, "key", "inner"), "one", compression="zstd")
+    rare = _rare(one.select("doc_id", "first", "last").distinct(), texts, least, similarity)
+    one = one.join(rare, ["doc_id", "first", "last"]).select(F.struct("key", "rare").alias("key"), "class", "span", "doc_id", "first", "last")
+    one = materialise(one, "rare", compression="zstd")
+    sizes = one.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("u"), F.max("class").alias("v")).filter("u <> v")
+    # a large key is dealt to many tasks: each has a share of its runs beside all of them
+    one = materialise(lookup_join(one, sizes.select("key", F.ceil(F.col("n") / DEALT).cast("int").alias("parts")), "key", "inner"), "dealt", compression="zstd")
+    left = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = one.withColumn("part", F.pmod(F.xxhash64("span"), F.col("parts")).cast("int")).drop("parts")
+    right = right.withColumnsRenamed({"doc_id": "other_id", **{x: f"other_{x}" for x in ("class", "first", "last", "span")}})
+    return left.join(right, ["key", "part"]).filter("class <> other_class AND doc_id > other_id")
+
+
+def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, other_id, first_word, last_word``: where a document shares passages with one of lesser identifier.
 
     A key's documents are tied to the least of them; a pair is verified by comparing all windows of the runs of
-    passages that have a key in common, unless two of its runs are equal, by a hash of their shingles.  What isn't alike is tied again without the
-    least document, so that a document that differs from the rest of a key hides no link, for ``rounds`` rounds (None:
-    until nothing is left); the texts that a round needs are fewer each time.
+    passages that have a key in common, unless two of its runs are equal, by a hash of their shingles.  Where
+    that leaves a key's documents in several classes, all its runs, of linked documents too, are compared with those
+    of the other classes, so a document that differs from the rest of a key hides no link.
     """
     least, need = length - SHINGLE + 1, math.ceil(hashes * similarity)
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -345,19 +444,28 @@ def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, simila
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(span.view(np.int64))], names=["key", "doc_id", "first", "last", "span"])
 
     rows = materialise(texts.mapInArrow(run, "key long, doc_id long, first int, last int, span long"), "keys", compression="zstd")
-    out = None
-    for done in count(1):
-        groups = _least(rows)
-        pairs = materialise(_pairs(_tied(rows, groups)), "ties", compression="zstd")
-        verified = _verified(texts, pairs, least, similarity)
+    groups = _least(rows)
+    pairs = materialise(_pairs(_tied(rows, groups)), "ties", compression="zstd")
+    verified = _verified(texts, pairs, least, similarity)
+
+    def linked(pairs: DataFrame, verified: DataFrame) -> DataFrame:
         found = pairs.join(verified.filter("good"), ["doc_id", "other_id"])
-        found = found.select("doc_id", "other_id", F.col("a").cast("long").alias("first_word"), (F.col("b") + length - 1).cast("long").alias("last_word"))
-        out = found if out is None else out.unionByName(found)
-        unlike = verified.filter("NOT good").select("doc_id", "other_id")
-        if done == rounds or unlike.isEmpty():
-            return out
-        left = _tied(_rows_of(rows, unlike.select("doc_id")), groups).join(unlike, ["doc_id", "other_id"], "left_semi")
-        rows = materialise(left.select("key", "doc_id", "first", "last", "span"), "keys", compression="zstd")
+        return found.select("doc_id", "other_id", F.col("a").cast("long").alias("first_word"), (F.col("b") + length - 1).cast("long").alias("last_word"))
+
+    out = materialise(linked(pairs, verified), "linked")
+    unlike = verified.filter("NOT good").select("doc_id", "other_id")
+    if unlike.isEmpty():
+        return out
+    classes = materialise(connected_components(out.select("doc_id", "other_id")), "classes")
+    left = _open_rows(rows, groups, unlike, classes)
+    equal = materialise(_equal_runs(left).filter("class <> other_class"), "equal", compression="zstd")
+    if not equal.isEmpty():
+        same = equal.groupBy("doc_id", "other_id").agg(F.min("first").alias("a"), F.max("last").alias("b"))
+        out = out.unionByName(linked(same, same.select("doc_id", "other_id", F.lit(True).alias("good"))))
+        joined = connected_components(equal.select("class", "other_class")).withColumnsRenamed({"node": "class", "component": "whole"})
+        left = materialise(lookup_join(left, joined, "class", "left").withColumn("class", F.coalesce("whole", "class")).drop("whole"), "open", compression="zstd")
+    pairs = materialise(_pairs(_across(left, groups, texts, least, similarity)), "across", compression="zstd")
+    return out.unionByName(linked(pairs, _verified(texts, pairs, least, similarity)))
 
 
 def passage_classes(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, similarity: float = SIMILARITY) -> DataFrame:
