@@ -39,8 +39,10 @@ from ridgeline.scratch import materialise
 SHINGLE = 5
 #: Words of the shortest passage.
 LENGTH = 50
-HASHES = 5
+HASHES = 4
 SIMILARITY = 0.8
+#: Share of the window pairs that are just similar enough which must be candidates.
+RECALL = 0.95
 #: Bits of the bitmap of shared signatures (32 MB, whatever the input).  Where it fills up more keys are made, and none is lost.
 MAP_BITS = 1 << 28
 #: The same for identifiers of documents (4 MB).
@@ -282,6 +284,12 @@ def _rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def agreeing(hashes: int, similarity: float, recall: float = RECALL) -> int:
+    """The most functions for which windows of that similarity agree with that probability, 1 at least."""
+    at_least = lambda need: sum(math.comb(hashes, k) * similarity**k * (1 - similarity) ** (hashes - k) for k in range(need, hashes + 1))
+    return max(need for need in range(1, hashes + 1) if need == 1 or at_least(need) >= recall)
+
+
 def _least(rows: DataFrame) -> DataFrame:
     """Keys that several documents have, with the least document as ``other_id``, where it has the key, and their rows."""
     least = F.min(F.struct("doc_id", "first", "last", "span"))
@@ -433,7 +441,7 @@ def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, simila
     that leaves a key's documents in several classes, all its runs, of linked documents too, are compared with those
     of the other classes, so a document that differs from the rest of a key hides no link.
     """
-    least, need = length - SHINGLE + 1, math.ceil(hashes * similarity)
+    least, need = length - SHINGLE + 1, agreeing(hashes, similarity)
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = docs.sparkSession.sparkContext.broadcast(shared_signatures(texts, min(NOTED, hashes), least))
     mask = np.uint64(MAP_BITS - 1)
