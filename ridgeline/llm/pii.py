@@ -36,7 +36,7 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"""[^\s<>"'`|\\^{}]+""")
-_SECRET = re.compile(r"""["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9_\-./+=]{16,512})""")
+_SECRET = re.compile(r"""["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9_\-./+=]{16,})""")
 _IBAN = re.compile(r"[\s:#=]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
 _SSN = re.compile(r"[\s:#=]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 

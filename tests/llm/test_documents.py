@@ -184,6 +184,11 @@ def test_personal_data_by_chance():
     assert pii.find("1" * 50_000 + "." + "9" * 50_000 + ".1.2 +" + "(" * 50_000) == []
 
 
+def test_a_long_secret_is_found_whole():
+    for n in (16, 512, 513, 5000):
+        assert pii.find("token = " + "aB3" * n) == [("secret", 8, 8 + 3 * n)]
+
+
 def test_personal_data_of_odd_rows(spark):
     got = pii.digest(pii.find_personal_data(rows_of(spark, ODD, [5, 3, None, 1, 1, 0, 9, 8, 7, 6]))).collect()
     assert len(got) == 10 and sum(r["n_email"] for r in got) == 1 and {r["spans"] for r in got} == {"", "email:4:10"}
