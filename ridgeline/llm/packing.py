@@ -159,7 +159,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int = 102
 
         def documents() -> Iterator[tuple[int | None, bytes]]:
             for b in batches:
-                ids = tool.encode_all(x.as_py() or "" for x in b.column(1))
+                ids = tool.encode_column(b.column(1))
                 yield from ((i.as_py(), x + end) for i, x in zip(b.column(0), ids))
 
         yield from _batches(pack(documents(), size), TaskContext.get().partitionId(), digest)

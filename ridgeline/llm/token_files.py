@@ -6,7 +6,7 @@ need.  The ids are dictionary encoded (about 16 bits an id before compression) o
 
 Defined results: a NULL text counts as empty and gives the end id alone; a repeated row gives a row each time; very
 long texts make one row; an empty table makes files without rows; of other columns only those named as metadata are
-kept, so names can't clash.
+kept, under their own names, or with underscores after them where the files' own columns have the name.
 """
 
 from __future__ import annotations
@@ -31,6 +31,21 @@ def _lists(encoded: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(encoded))]))
 
 
+#: Columns of the files that aren't metadata, and those made in writing and reading.
+OWN_COLUMNS = frozenset({"doc_id", "part", "start_in_part", "n_tokens", "ids", "start", "_before", "_text_"})
+
+
+def metadata_names(metadata: tuple[str, ...]) -> dict[str, str]:
+    """The files' names for metadata columns."""
+    out: dict[str, str] = {}
+    for c in metadata:
+        name = c
+        while name.lower() in OWN_COLUMNS | {x.lower() for x in out.values()}:
+            name += "_"
+        out[c] = name
+    return out
+
+
 def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, end_id: int, metadata: tuple[str, ...] = (), encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, compression: str = "zstd"
 ) -> None:
@@ -41,8 +56,10 @@ def write_token_files(
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(encoding)
-    columns = ["doc_id", *metadata]
-    tail = f"part int, start_in_part long, n_tokens long, ids array<int>"
+    tail = "part int, start_in_part long, n_tokens long, ids array<int>"
+    named = metadata_names(metadata)
+    docs = docs.select("doc_id", *(F.col(f"`{c}`").alias(n) for c, n in named.items()), F.col("text").alias("_text_"))
+    columns = ["doc_id", *named.values()]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", " + tail
     end = np.asarray([end_id], "<u4").tobytes()
@@ -50,7 +67,7 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            at, ids = 0, tool.encode_all(x.as_py() or "" for x in batch.column("_text"))
+            at, ids = 0, tool.encode_column(batch.column("_text_"))
             while at < batch.num_rows:
                 encoded, size, first = [], 0, at
                 while at < batch.num_rows and size < 4 * BATCH_IDS:
@@ -64,7 +81,7 @@ def write_token_files(
                     names=[*columns, "part", "start_in_part", "n_tokens", "ids"],
                 )
 
-    dealt = docs.select(*columns, F.col("text").alias("_text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_text")
+    dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_text_")
     options = {
         "compression": compression, "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": str(encoding == "dictionary").lower(),

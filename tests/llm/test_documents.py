@@ -34,14 +34,17 @@ def documents(spark, sf_dir):
 def test_encoding_equals_library(name, documents):
     tool = encoding.PieceEncoder(public_tokenizers.path(name))
     draw = random.Random(1)
-    odd = "aB z\n  é'sÀɏ²½9.,!\x01\x85\t☃İΣ中 ͏'ll<|endoftext|>%_"
-    texts = [t for _, t in documents[:60]] + ["".join(draw.choice(odd) for _ in range(draw.randint(0, 14))) for _ in range(2000)]
-    assert all(tool.encode(t) == tool.whole(t) for t in texts)
+    odd = [*"aB z\n  é'sÀɏ²½9.,!\x01\x85\t☃İΣ中 ͏%_И—は”1'‰x", "'ll", "'re", "'T", "'ve", "\n\n", "   ", "word", "ß"]
+    texts = [t for _, t in documents[:60]] + ["".join(draw.choice(odd) for _ in range(draw.randint(0, 14))) for _ in range(4000)]
+    texts += ["a<|endoftext|>b", "<|startoftext|> x", "<|EndOfText|>", "\0a", "", "x" * 60 + " " + "y" * 25, "\u0301a", "a\u0301"]
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    expected = [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(tool.encode_all(texts)) == expected
+    assert [tool.encode(t) for t in texts[-300:]] == expected[-300:]
 
 
 def test_token_files(spark, sf_dir, documents):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     got = {r["doc_id"]: r for r in queries.op1_token_files(spark, sf_dir).collect()}
     start = 0
     for i, text in sorted(documents):
@@ -81,7 +84,6 @@ def check_packing(pieces, size):
 
 def test_packing(spark, sf_dir, documents):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     by_doc, padding = check_packing(queries.op4_packing(spark, sf_dir).collect(), 1024)
     assert padding == 0 and len(by_doc) == len(documents)
     for i, text in documents:
@@ -288,16 +290,17 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
-def test_a_full_cache_changes_no_ids(documents, monkeypatch):
-    monkeypatch.setattr(encoding, "CACHE_PIECES", 300)
-    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        tool = encoding.PieceEncoder(public_tokenizers.path(name))
-        assert all(tool.encode(t) == tool.whole(t) for _, t in documents[:80])
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_full_table_and_any_division_change_no_ids(documents, monkeypatch, name):
+    monkeypatch.setattr(encoding, "TOGETHER", 5000)
+    texts = [t for _, t in documents[:80]] + ["", "tab\tseparated", "x" * 300, "of some words, " * 3000]
+    tool = encoding.PieceEncoder(public_tokenizers.path(name), pieces=300)
+    expected = [tool.whole(t).tobytes() for t in texts]
+    assert list(tool.encode_all(texts)) == expected == list(tool.encode_all(texts))
 
 
-def test_texts_encoded_together_have_their_own_ids(documents, monkeypatch):
-    monkeypatch.setattr(encoding, "TOGETHER", 5000)
-    texts = [t for _, t in documents[:80]] + ["", "tab\tseparated", "x" * 300]
-    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        tool = encoding.PieceEncoder(public_tokenizers.path(name))
-        assert list(tool.encode_all(iter(texts))) == [tool.whole(t) for t in texts]
+def test_metadata_with_the_names_of_the_files_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b", 7, "x", 3, 9)], "doc_id long, text string, part int, ids string, n_tokens long, Start int")
+    token_files.write_token_files(docs, str(tmp_path / "a"), public_tokenizers.path("byte_bpe_50k.json"), 0, ("part", "ids", "n_tokens", "Start"))
+    (got,) = token_files.read_token_files(spark, str(tmp_path / "a")).collect()
+    assert (got["part_"], got["ids_"], got["n_tokens_"], got["Start_"], got["n_tokens"], got["start"]) == (7, "x", 3, 9, 3, 0)
