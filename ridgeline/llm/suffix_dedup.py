@@ -1,17 +1,22 @@
 """Bytes covered by long strings that start at more than one place in a corpus, by hash-compared suffix sorting.
 
-A corpus doesn't fit one suffix array, so it is cut by content into pieces that are sorted apart:
+A corpus doesn't fit one suffix array, so its strings are dealt out by content before they are sorted:
 
 * Anchors.  Of the hashes of all ``KGRAM``-byte strings within a window of ``length`` bytes the least marks the
   window's anchor, so equal windows have equal anchors at equal places.  Runs of windows with one anchor are a *piece*.
-* Pieces whose anchor hash occurs once can't hold a repeated string and go no further.  Equal pieces, by two 64-bit
-  hashes, repeat all their strings: that settles what copies hold, and one of them goes on to stand for all.
-* The suffixes that start at the windows of the pieces that are left are sorted, each task its own, by prefix polynomial
+  Windows that are equal lie in pieces with the same anchor hash, their *key*: only pieces of a key need be compared.
+* Pieces whose key occurs once can't hold a repeated string and go no further; a bitmap sent to all tasks tells most of
+  them.  Of the others the bytes are sent, equal ones grouped by their bytes, not by a hash: what occurs twice is
+  covered whole.
+* Different pieces of a key meet in one task, which sorts the suffixes that start at their windows by prefix polynomial
   hashes: a binary search over prefix lengths finds where two suffixes part, so a comparison takes a logarithmic
   number of steps, and a merge sort orders them (``sort_suffixes``).  Neighbours that agree in ``length`` bytes
   are one string; they are compared byte by byte.
-* Each task sends one row per distinct string with its count; the merge of the tasks' sorted runs is by two
-  independent 64-bit hashes of the string, so a string that occurs anywhere is counted whole however often it occurs.
+* A key with more than ``HOT`` different pieces, as at the edges of a passage that very many texts quote, isn't sorted
+  in one task.  Its pieces are divided into short runs of windows, dealt out anew by a hash of the bytes that all windows of
+  a run share, and then to single windows, which are grouped by their bytes.
+
+A text is known by its SHA-256, so equal texts are looked at once in a task, and texts that occur twice are covered whole.
 
 Defined results: a NULL text counts as empty; texts shorter than ``length`` lose nothing; a repeated row is a copy of
 the text; a NULL identifier is carried along; texts of any length are handled whole; an empty table gives no rows;
@@ -26,19 +31,34 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm.bitmaps import bitmap, bitmap_bits, noted
 from ridgeline.operators.skew import lookup_join
 from ridgeline.scratch import materialise
 
 LENGTH = 200
 KGRAM = 48
-#: Bases of the polynomial hashes modulo 2**64 (odd, so they have inverses), and a mixing multiplier.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Different pieces of a key that are sorted in one task; keys with more are divided.
+HOT = 2000
+#: Windows of a run into which pieces of such keys are divided first.
+RUN = 20
+#: Bytes of text looked at together, and suffixes sorted together, about.
+TOGETHER = 1 << 20
+SORTED = 250_000
+#: Different pieces whose bytes a task remembers having sent.
+SENT = 50_000
+#: Base of the polynomial hashes modulo 2**64 (odd, so it has an inverse), and a mixing multiplier.
+BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: Bits of a place within texts that are looked at together.
+_PLACE = np.uint64(24)
 _MASK = (1 << 64) - 1
 
+SPANS = "array<struct<start:int,end:int>>"
+
 
 @cache
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +76,7 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 class Hashes:
     """Prefix polynomial hashes of a byte string: the hash of any part takes two look-ups."""
 
-    def __init__(self, data: np.ndarray, base: int = BASES[0]):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         n = len(data)
         self.power, self.inverse = _powers(base, 1 << max(8, (n + 1).bit_length()))
         self.prefix = np.zeros(n + 1, np.uint64)
@@ -78,12 +98,17 @@ _TABLE = np.frombuffer(hashlib.shake_256(b"bytes").digest(2048), np.uint64).copy
 def extension(h: Hashes, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
     """How many bytes the suffixes at ``a`` and ``b`` have in common, up to ``limit``: binary search by hash."""
     low, high = np.zeros(len(a), np.int64), limit.astype(np.int64)
-    while (open_ := low < high).any():
-        at = np.flatnonzero(open_)
+    # the whole first: what is equal, as most of a repeated passage is, needs no search
+    same = h.of(a, high) == h.of(b, high)
+    low[same] = high[same]
+    high[~same] -= 1
+    at = np.flatnonzero(low < high)
+    while len(at):
         middle = (low[at] + high[at] + 1) // 2
         same = h.of(a[at], middle) == h.of(b[at], middle)
         low[at[same]] = middle[same]
         high[at[~same]] = middle[~same] - 1
+        at = at[low[at] < high[at]]
     return low
 
 
@@ -91,21 +116,24 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, length: int, h: Hashes |
     """Order of the suffixes at ``starts``, cut at ``length`` bytes, and what each has in common with the one before.
 
     Runs of doubling width are merged; all merges of a width are done together, each suffix finding its place in the
-    other run by binary search with hash comparisons.  First come eight bytes as a number, so comparisons are only
+    other run by binary search with hash comparisons.  First come sixteen bytes as numbers, so comparisons are only
     made among suffixes that agree in those.
     """
     h = h or Hashes(data)
     n = len(starts)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    head = np.zeros(n, np.uint64)
-    for k in range(8):
-        head = (head << np.uint64(8)) | padded[np.minimum(starts + k, len(data))].astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    word = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))
+    heads = [word[np.minimum(starts + k, len(data))].astype(np.uint64) for k in (0, 8)]
     left = np.minimum(len(data) - starts, length)
-    order = np.argsort(head, kind="stable")
-    starts, left, head = starts[order], left[order], head[order]
-    group = np.cumsum(np.r_[0, head[1:] != head[:-1]]) if n else np.zeros(0, np.int64)
-
-    def before(x: np.ndarray, y: np.ndarray, tie: bool) -> np.ndarray:
+    order = np.lexsort((heads[1], heads[0]))
+    starts, left = starts[order], left[order]
+    new = np.zeros(n, bool)
+    for head in heads:
+        head = head[order]
+        new[1:] |= head[1:] != head[:-1]
+    group = np.cumsum(new)
+
+    def before(x: np.ndarray, y: np.ndarray, tie: np.ndarray) -> np.ndarray:
         limit = np.minimum(left[x], left[y])
         same = extension(h, starts[x], starts[y], limit)
         ends = same >= limit
@@ -115,144 +143,258 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, length: int, h: Hashes |
     first = np.r_[0, np.flatnonzero(np.diff(group)) + 1] if n else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[first, n])
     rank = np.arange(n)  # the suffix at each place
-    width, widest = 1, int(sizes.max(initial=1))
     offset = np.arange(n) - np.repeat(first, sizes)
     base, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
-    while width < widest:
-        run = offset // width
-        own = base + run * width
+    width = 1
+    todo = np.flatnonzero(size > 1)
+    while len(todo):
+        run = offset[todo] // width
+        own = base[todo] + run * width
         second = run % 2 == 1
         other = np.where(second, own - width, own + width)
-        low = np.minimum(other, base + size)
-        high = np.minimum(other + width, base + size)
+        low = np.minimum(other, base[todo] + size[todo])
+        high = np.minimum(other + width, base[todo] + size[todo])
         start = low.copy()
-        while (open_ := low < high).any():
-            at = np.flatnonzero(open_)
+        at = np.flatnonzero(low < high)
+        while len(at):
             middle = (low[at] + high[at]) // 2
-            goes = np.empty(len(at), bool)
-            for tie in (False, True):  # equal suffixes of the first run stay before those of the second
-                part = second[at] == tie
-                goes[part] = before(rank[middle[part]], rank[at[part]], tie)
+            goes = before(rank[middle], rank[todo[at]], second[at])  # equal suffixes of the first run stay before those of the second
             low[at[goes]] = middle[goes] + 1
             high[at[~goes]] = middle[~goes]
-        place = np.where(second, other, own) + (np.arange(n) - own) + (low - start)
-        merged = np.empty(n, np.int64)
-        merged[place] = rank
+            at = at[low[at] < high[at]]
+        place = np.where(second, other, own) + (todo - own) + (low - start)
+        merged = rank.copy()
+        merged[place] = rank[todo]
         rank, width = merged, 2 * width
+        todo = todo[size[todo] > width]
     common = np.zeros(n, np.int64)
     if n > 1:
         common[1:] = extension(h, starts[rank[1:]], starts[rank[:-1]], np.minimum(left[rank[1:]], left[rank[:-1]]))
     return order[rank], common
 
 
-def anchors(h: Hashes, length: int, kgram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of a text the place of its anchor, and the hashes of all k-grams; of equal hashes the first is the anchor."""
-    grams = h.windows(kgram) * _MIX
+def anchors(data: np.ndarray, length: int, kgram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``length`` bytes the place of its anchor, and the hashes of all k-grams; of equal hashes the first is the anchor."""
+    grams = Hashes(data).windows(kgram) * _MIX
     grams ^= grams >> np.uint64(29)
     w = length - kgram + 1
     n = len(grams) - w + 1
+    # the place in the low bits, so that the least value tells it
+    low = np.uint64((1 << int(_PLACE)) - 1)
+    marked = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    padded = np.concatenate([marked, np.full(-len(grams) % w, ~np.uint64(0), np.uint64)]).reshape(-1, w)
     # window minima: least up to each place from the block's start, and from each place to the block's end
-    padded = np.concatenate([grams, np.full(-len(grams) % w, _MASK, np.uint64)]).reshape(-1, w)
     upto = np.minimum.accumulate(padded, axis=1).ravel()
     onward = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(onward[:n], upto[w - 1 : w - 1 + n])
-    # the first place from each window's start on that holds its minimum
-    changed = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    at = np.empty(n, np.int64)
-    ends = np.r_[changed[1:], n]
-    for a, b in zip(changed.tolist(), ends.tolist()):
-        places = np.flatnonzero(grams[a : b + w - 1] == least[a]) + a
-        at[a:b] = places[0] if len(places) == 1 else places[np.searchsorted(places, np.arange(a, b))]
-    return at, grams
+    return (np.minimum(onward[:n], upto[w - 1 : w - 1 + n]) & low).astype(np.int64), grams
 
 
-def _bytes(x: pa.Scalar) -> bytes:
-    return (x.as_py() or "").encode("utf-8", "surrogatepass")
+def cut_pieces(texts: list[bytes], length: int, kgram: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``data, text, first, start, n, anchor, key`` for some texts at a time: the bytes together, and of each piece its text, its first window's place in it and in the bytes, how many windows it has, its anchor's place in it and its key.
 
+    A text longer than ``TOGETHER`` comes in parts that overlap, each window in one of them.
+    """
+    parts: list[tuple[int, int, bytes]] = []
+
+    def done() -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data = b"".join(x for _, _, x in parts)
+        ends = np.cumsum([len(x) for _, _, x in parts])
+        windows = np.array([len(x) - length + 1 for _, _, x in parts])
+        base = ends - windows - length + 1
+        start = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(base, windows)
+        at, grams = anchors(np.frombuffer(data, np.uint8), length, kgram)
+        at = at[start]
+        new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        own = np.searchsorted(ends, start[new], "right")
+        offset = np.array([k for _, k, _ in parts]) - base
+        text = np.array([k for k, _, _ in parts])
+        return data, text[own], start[new] + offset[own], start[new], np.diff(np.r_[new, len(start)]), at[new] - start[new], grams[at[new]]
+
+    size = 0
+    for k, x in enumerate(texts):
+        for a in range(0, max(1, len(x) - length + 1), TOGETHER):
+            part = x if len(x) <= TOGETHER else x[a : a + TOGETHER + length - 1]
+            if len(part) >= length:
+                parts.append((k, a, part))
+                size += len(part)
+            if size >= TOGETHER:
+                yield done()
+                parts, size = [], 0
+            if len(x) <= TOGETHER:
+                break
+    if parts:
+        yield done()
 
-def _strings(texts: list[bytes], wanted: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For window starts in several texts: text, start, two hashes, and the number of the distinct string.
 
-    The starts are sorted as suffixes of the texts put together; neighbours with ``length`` bytes in common are equal,
-    which is verified byte by byte.
-    """
-    base = np.cumsum([0, *map(len, texts)])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    starts = np.concatenate([w + b for w, b in zip(wanted, base)]) if wanted else np.zeros(0, np.int64)
-    h, g = Hashes(data), Hashes(data, BASES[1])
-    one, two = h.of(starts, length), g.of(starts, length)
-    # of strings with equal hashes one is sorted; the others are verified against it
-    _, pick, back = np.unique(one, return_index=True, return_inverse=True)
-    order, common = sort_suffixes(data, starts[pick], length, h)
-    number = np.empty(len(pick), np.int64)
-    number[order] = np.cumsum(common < length) - 1
+def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
+    """Of each of some different pieces the windows that occur again in any of them, by sorting all suffixes that start at windows."""
+    ends = np.cumsum([len(x) for x in pieces])
+    windows = np.array([len(x) - length + 1 for x in pieces])
+    cut = np.cumsum(windows)
+    starts = np.arange(cut[-1]) - np.repeat(cut - windows, windows) + np.repeat(ends - windows - length + 1, windows)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    order, common = sort_suffixes(data, starts, length)
+    equal = np.flatnonzero(common >= length)
     step = np.arange(length)
-    for a in range(0, len(starts), 20_000):
-        mine, its = starts[a : a + 20_000], starts[pick][back[a : a + 20_000]]
-        moved = np.flatnonzero(mine != its)
-        if not (data[mine[moved, None] + step] == data[its[moved, None] + step]).all():
+    for k in range(0, len(equal), 20_000):
+        some = equal[k : k + 20_000]
+        if not (data[starts[order[some]][:, None] + step] == data[starts[order[some - 1]][:, None] + step]).all():
             raise ArithmeticError("two strings have one hash")  # mends by another base
-    own = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted])
-    return own, starts - base[own], one, two, number[back]
+    again = np.zeros(len(starts), bool)
+    again[order[equal]] = again[order[equal - 1]] = True
+    return np.split(again, cut[:-1])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataFrame:
-    """``doc_id, text, spans`` where ``spans`` are the maximal runs ``(start, end)`` of covered bytes, for every row.
+def _runs(hit: np.ndarray, length: int) -> list[dict[str, int]]:
+    """The bytes covered by the windows that are hit, as maximal runs."""
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return []
+    new = np.flatnonzero(np.diff(at) > length)
+    return [{"start": int(a), "end": int(b) + length} for a, b in zip(at[np.r_[0, new + 1]], at[np.r_[new, len(at) - 1]])]
 
-    ``docs`` is read three times and must give its rows in one order, as tables do.
-    """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _keys(texts: DataFrame, length: int, kgram: int) -> DataFrame:
+    """Keys that occur more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for *_, key in cut_pieces([x.as_py().encode("utf-8", "surrogatepass") for x in batch.column(0)], length, kgram):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    return texts.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+
+
+def _candidates(texts: DataFrame, keys: DataFrame, length: int, kgram: int) -> DataFrame:
+    """``digest, first, key, one, two, anchor, piece``: the pieces whose key may be among ``keys``; their bytes where a task sends them first."""
+    bits = bitmap_bits(keys.count())
+    place = lambda shift: F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(bits - 1))
+    held = bitmap(keys.select(F.explode(F.array(place(0), place(24))).alias("place")), bits)
+    sent = keys.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        known: dict[tuple[int, int], bytes] = {}
         for batch in batches:
-            for row, x in zip(batch.column(0), batch.column(1)):
-                text = _bytes(x)
-                if len(text) < length:
-                    continue
-                data = np.frombuffer(text, np.uint8)
-                h, g = Hashes(data), Hashes(data, BASES[1])
-                at, grams = anchors(h, length, kgram)
-                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                n = np.diff(np.r_[first, len(at)])
-                whole = [x.of(first, n + length - 1).view(np.int64) for x in (h, g)]
+            digests, own = [], []
+            for d, x in zip(batch.column(0), batch.column(1)):
+                if (digest := d.as_py()) not in seen:
+                    seen.add(digest)
+                    digests.append(digest)
+                    own.append(x.as_py().encode("utf-8", "surrogatepass"))
+            for data, text, first, start, n, anchor, key in cut_pieces(own, length, kgram):
+                hit = np.ones(len(key), bool)
+                for shift in (0, 24):
+                    hit &= noted(sent.value, ((key >> np.uint64(shift)) & np.uint64(bits - 1)).astype(np.int64))
+                at = np.flatnonzero(hit)
+                names, pieces = [], []
+                for a, z in zip(start[at].tolist(), (start[at] + n[at] + length - 1).tolist()):
+                    piece = data[a:z]
+                    name = xxhash.xxh3_128_intdigest(piece)
+                    name = (name >> 64, name & _MASK)
+                    names.append(name)
+                    if known.get(name) == piece:
+                        pieces.append(None)
+                    else:
+                        if len(known) >= SENT:
+                            known.clear()
+                        known[name] = piece
+                        pieces.append(piece)
+                one, two = (pa.array(np.array([x[k] for x in names], np.uint64).view(np.int64)) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(first), row.as_py())), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(grams[at[first]].view(np.int64)), *map(pa.array, whole)],
-                    names=["row", "first", "n", "key", "one", "two"],
+                    [pa.array([digests[k] for k in text[at].tolist()], pa.binary()), pa.array(first[at].astype(np.int32)), pa.array(key[at].view(np.int64)), one, two, pa.array(anchor[at].astype(np.int32)), pa.array(pieces, pa.binary())],
+                    names=["digest", "first", "key", "one", "two", "anchor", "piece"],
                 )
 
-    pieces = materialise(rows.select("row", "text").mapInArrow(place, "row long, first int, n int, key long, one long, two long"), "pieces")
-    keys = materialise(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"), "keys")
-    shared = lookup_join(pieces, keys, "key", "inner").select("row", "first", "n", F.struct("key", "one", "two").alias("kind"))
-    shared = materialise(shared, "shared")
-    # equal pieces repeat all their strings; a piece unlike the others with its anchor may share some strings with them
-    kinds = materialise(shared.groupBy("kind").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "n")).alias("some")), "kinds")
-    settled = lookup_join(shared, kinds.filter("times > 1").select("kind"), "kind", "inner")
-    settled = settled.select("row", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + length).alias("end"))
-    open_keys = kinds.filter("times = 1").select(F.col("kind.key").alias("key")).distinct()
-    to_sort = lookup_join(kinds.select(F.col("kind.key").alias("key"), "times", "some"), open_keys, "key", "inner", rows=kinds.count())
-    to_sort = to_sort.select("some.row", F.struct("some.first", "some.n", F.when(F.col("times") > 1, 2).otherwise(1).alias("weight")).alias("piece"))
-    work = materialise(rows.select("row", "text").join(to_sort.groupBy("row").agg(F.collect_list("piece").alias("pieces")), "row"), "work")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, one, two, number, weight, _ in _each(batches, length):
-            first, back = np.unique(number, return_index=True, return_inverse=True)[1:]
-            n = np.bincount(back, weight).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(n)], names=["one", "two", "n"])
-
-    strings = work.mapInArrow(count, "one long, two long, n long").groupBy("one", "two").agg(F.sum("n").alias("n"))
-    again = materialise(strings.filter("n > 1").select("one", "two"), "strings")
-
-    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, start, one, two, _, weight, rows_ in _each(batches, length):
-            at = np.flatnonzero(weight == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(rows_[own[at]]), pa.array(start[at].astype(np.int32)), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64))], names=["row", "start", "one", "two"])
-
-    listed = work.mapInArrow(list_, "row long, start int, one long, two long")
-    hit = listed.join(again.withColumnsRenamed({"one": "o", "two": "t"}), (F.col("one") == F.col("o")) & (F.col("two") == F.col("t"))).select("row", "start", (F.col("start") + length).alias("end"))
-    covered = settled.unionByName(hit).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return texts.mapInArrow(run, "digest binary, first int, key long, one long, two long, anchor int, piece binary")
+
+
+def _sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
+    """``key, one, two, spans`` of the different pieces ``key, one, two, piece`` of keys with a bounded number of them."""
+
+    def sort(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        spans = [_runs(x, length) for x in repeated_windows([r[3] for r in rows], length)]
+        at = [k for k, x in enumerate(spans) if x]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        return pa.RecordBatch.from_arrays([*(pa.array([rows[k][c] for k in at], pa.int64()) for c in range(3)), pa.array([spans[k] for k in at], kind)], names=["key", "one", "two", "spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, int, bytes]] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(x.to_pylist() for x in batch.columns)):
+                if size >= SORTED and row[0] != rows[-1][0]:
+                    yield sort(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[3]) - length + 1
+        if rows:
+            yield sort(rows)
+
+    return pieces.select("key", "one", "two", "piece").repartition("key").sortWithinPartitions("key").mapInArrow(run, f"key long, one long, two long, spans {SPANS}")
+
+
+def _divided(pieces: DataFrame, length: int, width: int) -> DataFrame:
+    """Pieces as runs of ``width`` windows: ``of`` is the piece, ``at`` the run's place in it, and the new key hashes what is common to all windows of such a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("of", of := pa.struct([("key", pa.int64()), ("one", pa.int64()), ("two", pa.int64())])), ("at", pa.int32()), *of, ("anchor", pa.int32()), ("piece", pa.binary())])
+        for batch in batches:
+            for rows in (batch.slice(k, 200) for k in range(0, batch.num_rows, 200)):
+                out = []
+                for key, one, two, anchor, x in zip(*(c.to_pylist() for c in rows.columns)):
+                    n = len(x) - length + 1
+                    # a window's distance from the anchor says which run it is in, so equal windows are in runs alike
+                    for k in range((anchor - n + 1) // width, anchor // width + 1):
+                        first, end = max(0, anchor - (k + 1) * width + 1), min(n, anchor - k * width + 1)
+                        core, part = x[anchor - k * width : anchor - (k + 1) * width + 1 + length], x[first : end + length - 1]
+                        own = xxhash.xxh3_64_intdigest(core, seed=xxhash.xxh3_64_intdigest(f"{key} {k}"))
+                        name = xxhash.xxh3_128_intdigest(part)
+                        signed = [v - (1 << 64) if v >> 63 else v for v in (own, name >> 64, name & _MASK)]
+                        out.append(({"key": key, "one": one, "two": two}, first, *signed, anchor - first, part))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    schema = "of struct<key:long,one:long,two:long>, at int, key long, one long, two long, anchor int, piece binary"
+    return pieces.select("key", "one", "two", "anchor", "piece").mapInArrow(run, schema)
+
+
+def _kinds(pieces: DataFrame, counts: DataFrame) -> DataFrame:
+    """Different pieces, by their bytes, and how often each occurs."""
+    kinds = materialise(pieces.groupBy("key", "one", "two", "piece").agg(F.max("anchor").alias("anchor")), "kinds", compression="zstd")
+    if kinds.count() != kinds.select("key", "one", "two").distinct().count():
+        raise ArithmeticError("two pieces have one name of 128 bits")
+    return materialise(kinds.join(counts, ["key", "one", "two"]), "kinds", compression="zstd")
+
+
+def _covered(kinds: DataFrame, length: int, hot: int, widths: tuple[int, ...]) -> DataFrame:
+    """``kind, start, end``: what is covered of the different pieces ``key, one, two, piece, anchor, times``."""
+    kind = F.struct("key", "one", "two").alias("kind")
+    out = kinds.filter("times > 1").select(kind, F.lit(0).alias("start"), F.octet_length("piece").alias("end"))
+    if not widths:  # single windows
+        return out
+    keys = materialise(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "keys")
+    few = kinds.join(keys.filter(F.col("n") <= hot).select("key"), "key", "left_semi")
+    found = _sorted_spans(few, length).select(kind, F.explode("spans").alias("span"))
+    out = out.unionByName(found.select("kind", "span.start", "span.end"))
+    many = keys.filter(F.col("n") > hot).select("key")
+    if many.isEmpty():
+        return out
+    runs = materialise(_divided(lookup_join(kinds, many, "key", "inner"), length, widths[0]), "runs", compression="zstd")
+    counts = runs.groupBy("key", "one", "two").agg(F.count(F.lit(1)).alias("times"))
+    inner = _covered(_kinds(runs, counts), length, hot, widths[1:]).groupBy("kind").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    back = lookup_join(runs.select("of", "at", kind), materialise(inner, "spans"), "kind", "inner").select(F.col("of").alias("kind"), "at", F.explode("spans").alias("span"))
+    return out.unionByName(back.select("kind", (F.col("at") + F.col("span.start")).alias("start"), (F.col("at") + F.col("span.end")).alias("end")))
+
+
+def _merged(spans: DataFrame, by: str) -> DataFrame:
+    """Spans by text or piece as maximal runs."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x in batch.column(1):
@@ -261,35 +403,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) ->
                 a, b = a[order], np.maximum.accumulate(b[order])
                 cut = np.flatnonzero(a[1:] > b[:-1]) + 1
                 out.append([{"start": int(i), "end": int(j)} for i, j in zip(a[np.r_[0, cut]], b[np.r_[cut - 1, len(b) - 1]])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["row", "spans"])
-
-    spans = materialise(covered.mapInArrow(merge, "row long, spans array<struct<start:int,end:int>>"), "spans")
-    out = rows.join(spans, "row", "left")
-    return out.select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
-
-
-def _each(batches: Iterator[pa.RecordBatch], length: int, bytes_at_once: int = 4 << 20):  # noqa: ANN202
-    """Strings of the rows ``(row, text, pieces)``, some megabytes of text at a time."""
-    rows: list[int] = []
-    texts: list[bytes] = []
-    wanted: list[np.ndarray] = []
-    weights: list[np.ndarray] = []
-
-    def done():  # noqa: ANN202
-        return (*_strings(texts, wanted, length), np.concatenate(weights), np.array(rows, np.int64))
-
-    for batch in batches:
-        for row, x, pieces in zip(batch.column(0), batch.column(1), batch.column(2)):
-            rows.append(row.as_py())
-            texts.append(_bytes(x))
-            own = pieces.as_py()
-            wanted.append(np.concatenate([np.arange(p["first"], p["first"] + p["n"]) for p in own]).astype(np.int64))
-            weights.append(np.concatenate([np.full(p["n"], p["weight"]) for p in own]))
-            if sum(map(len, wanted)) >= bytes_at_once // 4 or sum(map(len, texts)) >= bytes_at_once:
-                yield done()
-                rows, texts, wanted, weights = [], [], [], []
-    if rows:
-        yield done()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=[by, "spans"])
+
+    parts = spans.groupBy(by).agg(F.collect_set(F.struct("start", "end")).alias("parts"))
+    return parts.mapInArrow(run, f"{by} {dict(spans.dtypes)[by]}, spans {SPANS}")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot: int = HOT) -> DataFrame:
+    """``doc_id, text, spans`` where ``spans`` are the maximal runs ``(start, end)`` of covered bytes, for every row."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", _digest(F.col("text")).alias("digest"))
+    texts = rows.filter(F.octet_length("text") >= length)
+    keys = materialise(_keys(texts, length, kgram), "keys")
+    candidates = materialise(_candidates(texts.select("digest", "text"), keys, length, kgram), "candidates", compression="zstd")
+    counts = candidates.groupBy("key", "one", "two").agg(F.count(F.lit(1)).alias("times"))
+    kinds = _kinds(candidates.filter("piece IS NOT NULL"), counts)
+    covered = materialise(_merged(_covered(kinds, length, hot, (min(RUN, length // 4), 1)), "kind"), "covered")
+    places = candidates.select("digest", "first", F.struct("key", "one", "two").alias("kind"))
+    hit = lookup_join(places, covered, "kind", "inner").select("digest", "first", F.explode("spans").alias("span"))
+    copied = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("end")).filter("n > 1")
+    spans = hit.select("digest", (F.col("first") + F.col("span.start")).alias("start"), (F.col("first") + F.col("span.end")).alias("end"))
+    spans = materialise(_merged(spans.unionByName(copied.select("digest", F.lit(0).alias("start"), "end")), "digest"), "spans")
+    out = lookup_join(rows, spans, "digest", "left")
+    return out.select("doc_id", "text", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -299,7 +434,7 @@ def digest(found: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for i, x, spans in zip(batch.column(0), batch.column(1), batch.column(2)):
-                text, kept, at, gone = _bytes(x), hashlib.sha256(), 0, 0
+                text, kept, at, gone = x.as_py().encode("utf-8", "surrogatepass"), hashlib.sha256(), 0, 0
                 for s in sorted((p["start"], p["end"]) for p in spans.as_py()):
                     kept.update(text[at : s[0]])
                     at, gone = s[1], gone + s[1] - s[0]

@@ -40,8 +40,8 @@ def test_sort_suffixes():
                 assert common[k] == same
 
 
-@pytest.mark.parametrize("length", [20, 200])
-def test_repeated_bytes(spark, length):
+@pytest.mark.parametrize(("length", "hot"), [(20, 2000), (200, 2000), (200, 3), (40, 0)])
+def test_repeated_bytes(spark, length, hot):
     draw = random.Random(length)
     words = [f"w{k}é" for k in range(300)]
     shared = [" ".join(draw.choices(words, k=length // 3)) for _ in range(8)]
@@ -52,7 +52,7 @@ def test_repeated_bytes(spark, length):
         draw.shuffle(parts)
         texts.append("".join(parts))
     texts += [texts[3], texts[3], "x" * (3 * length), "ab" * length + "c" + "ab" * length, "y" * length, "z" * (length + 1), *ODD]
-    got = {r["doc_id"]: tuple(r)[1:] for r in s.digest(s.repeated_spans(rows_of(spark, texts), length, length // 4)).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in s.digest(s.repeated_spans(rows_of(spark, texts), length, length // 4, hot)).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, length)
 
 
@@ -64,5 +64,29 @@ def test_query(spark, sf_dir):
     assert [got[r["doc_id"]] for r in docs] == brute([r["text"] for r in docs], 200)
 
 
+def test_the_edge_of_a_passage_that_many_texts_quote(spark):
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(5000)]
+    quote = " ".join(draw.choices(words, k=60))
+    texts = [" ".join(draw.choices(words, k=40)) + quote[draw.randint(0, 2) :] + " ".join(draw.choices(words, k=40)) for _ in range(300)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in s.digest(s.repeated_spans(rows_of(spark, texts), 200, 48, 20)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 200)
+
+
+def test_long_texts_come_in_parts(monkeypatch):
+    monkeypatch.setattr(s, "TOGETHER", 3000)
+    draw = random.Random(2)
+    texts = ["".join(draw.choices("abcdef ", k=n)).encode() for n in (10, 500, 20_000, 0, 200, 2999, 3199, 9000)]
+    seen = [np.zeros(max(0, len(x) - 199), int) for x in texts]
+    keys: dict[bytes, set[int]] = {}
+    for data, text, first, start, n, anchor, key in s.cut_pieces(texts, 200, 48):
+        for t, f, a, m, k, z in zip(text, first, start, n, anchor, key):
+            seen[t][f : f + m] += 1
+            assert data[a : a + m + 199] == texts[t][f : f + m + 199] and 0 <= k <= 152
+            for j in range(m):
+                keys.setdefault(texts[t][f + j : f + j + 200], set()).add((int(z), int(k) - j))
+    assert all((x == 1).all() for x in seen) and all(len(x) == 1 for x in keys.values())
+
+
 def test_empty(spark):
     assert s.digest(s.repeated_spans(rows_of(spark, []))).count() == 0
