@@ -55,7 +55,7 @@ def byte_alphabet() -> str:
     return "".join(chr(b) if b in _ALPHABET_KEPT else next(free) for b in range(256))
 
 
-def _byte_classes(b: np.ndarray) -> np.ndarray:
+def byte_kinds(b: np.ndarray) -> np.ndarray:
     """The class of each byte's character."""
     out = np.frombuffer(bytearray(b.tobytes().translate(_BYTES)), np.uint8)
     lead = np.flatnonzero(b >= 0xC0)
@@ -71,6 +71,11 @@ def _byte_classes(b: np.ndarray) -> np.ndarray:
     return out
 
 
+def is_letter(kinds: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a letter; characters of no sure class beyond ASCII count as letters."""
+    return (kinds == _LETTER) | ((kinds == _ODD) & (b >= 0x80))
+
+
 def cut_pieces(b: np.ndarray, kinds: np.ndarray, first: np.ndarray, word_level: bool) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the pieces of texts that begin at ``first`` and have no odd characters."""
     n = len(b)
@@ -294,7 +299,7 @@ class PieceEncoder:
             if z > a:
                 data[: z - a] = np.frombuffer(lower.buffers()[2], np.uint8)[a:z]
             odd = np.zeros(to - at, bool)
-            kinds = _byte_classes(data[: z - a])
+            kinds = byte_kinds(data[: z - a])
             places = np.flatnonzero(kinds == _ODD)
             odd[np.unique(np.searchsorted(first, places, "right") - 1)] = True
             raw = data[: z - a].tobytes()
@@ -322,7 +327,7 @@ class PieceEncoder:
             found = _CUT.search(raw, at + TOGETHER)
             to = found.end() if found else len(raw)
             data = np.frombuffer(raw[at:to] + bytes(LONG_PIECE + 8), np.uint8)
-            out.append(self._encode(data, _byte_classes(data[: to - at]), np.array([0, to - at]))[0])
+            out.append(self._encode(data, byte_kinds(data[: to - at]), np.array([0, to - at]))[0])
             at = to
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 

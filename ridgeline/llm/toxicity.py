@@ -1,16 +1,25 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Both models are interpolated bigram models over words.  A word's lower-order probability comes from its
-continuation counts, the number of distinct words before it, by class: copies of a text repeat their contexts and so
-add nothing.  Expressions whose counts don't tell the classes apart, rare ones above all, have one shared
-backoff estimate from both classes and the whole corpus; their likelihoods cancel in the comparison.  So only words
-that differ between the classes (``MIN_CHANCE``) get class counts, and the model stays small.
+Each class has the two lower orders of an interpolated trigram model over all words of its labelled texts:
 
-A text is scored by the greatest difference of length-normalised log-likelihoods, toxic less ordinary, over windows of
-``WINDOW`` words, so a long text isn't thinned out; a logistic curve fitted to counts in bins makes it a probability.
+    P(w | v) = max(N(v, w) - D, 0) / N(v)  +  l(v) Q(w | v),   l(v) = sum over w of min(N(v, w), D) / N(v)
+    Q(w | v) = max(C(v, w) - D, 0) / C(v)  +  m(v) P(w),       m(v) = sum over w of min(C(v, w), D) / C(v)
+    P(w)     = max(N(w) - D, 0) / N        +  l S(w),          l    = sum over w of min(N(w), D) / N
 
-Labels are learnt from at most ``MAX_LABELLED`` rows, the least by a hash of the identifier; corpus counts take in
-every document.
+where ``N(v, w)`` and ``N(w)`` are the distinct words before the pair and before the word in the class (continuations),
+``N(v)`` and ``N`` their sums, ``C`` the sums of ``N`` over both classes, and ``S(w)`` the share of ``w`` among the words
+of the whole corpus, labelled or not.  Both classes back off to ``C`` and ``S``: a passage that only texts of one class
+happen to quote is as likely in the other.  The highest order, which counts occurrences, is left out, because copies of a text
+would count there; copies repeat their contexts and so add nothing to continuations.
+An expression that a class has ``D`` times or less adds nothing to that class: all its mass goes to the shared estimate.
+So pairs and words that both classes have so rarely needn't be sent to the tasks, which changes no likelihood.
+
+A text is scored by the greatest difference of the two length-normalised log-likelihoods over windows of ``WINDOW``
+words, as many as a pair has, so one insult counts alike in short and long texts; a logistic curve makes it a probability.  The curve is fitted to labelled
+texts that the models haven't seen, at the classes' own proportions.
+
+Labels are learnt from at most ``MAX_LABELLED`` rows, half of them of either class, the least by a hash of the identifier;
+corpus counts take in every document.  A word is a run of letters, in lower case, known by a 64-bit hash.
 
 Defined results: a NULL text counts as empty and has the score of a text without evidence; repeated rows are scored
 alike; a NULL identifier is never a training row and its ``held_out`` is false; texts of any length are scored whole;
@@ -21,56 +30,136 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm.encoding import byte_kinds, is_letter
+from ridgeline.llm.suffix_dedup import Hashes
 from ridgeline.scratch import materialise
 
 #: Labelled rows to learn from, at most.
-MAX_LABELLED = 200_000
-WINDOW = 32
-#: A word has class counts if it is in this share of one class's texts, in RATIO times the share of the other's,
-#: and its log-likelihood ratio statistic is at least this.
-MIN_SHARE, RATIO, MIN_CHANCE = 0.002, 3.0, 25.0
-DISCOUNT = 0.75
+MAX_LABELLED = 60_000
+WINDOW = 2
+DISCOUNT = 4.0
+#: One labelled text in so many is kept for the curve.
+CURVE = 5
 #: Bins of the window score for the logistic curve.
-BINS = 400
-BIN_WIDTH = 0.01
+BINS = 2000
+BIN_WIDTH = 0.002
+#: Bytes of text looked at together, and words whose counts a task holds before it sends them.
+TOGETHER = 1 << 20
+HELD = 1 << 20
+
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _A
+    return x ^ (x >> np.uint64(29))
+
+
+def words_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(words, ends)`` for some texts at a time: hashes of the words in order, and where each text's end."""
+    lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    if not len(lower):
+        return
+    offsets = np.frombuffer(lower.buffers()[1], np.int64, len(lower) + 1, 8 * lower.offset)
+    at = 0
+    while at < len(lower):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + TOGETHER, "right")) - 1)
+        a, n = int(offsets[at]), int(offsets[to] - offsets[at])
+        data = np.frombuffer(lower.buffers()[2], np.uint8, n, a) if n else np.zeros(0, np.uint8)
+        letter = np.zeros(n + 2, bool)
+        letter[1:-1] = is_letter(byte_kinds(data), data)
+        # a word ends where its text does
+        begin = letter[1:] & ~letter[:-1]
+        end = letter[:-1] & ~letter[1:]
+        edges = offsets[at + 1 : to] - a
+        edges = edges[(edges > 0) & (edges < n)]
+        inside = edges[letter[edges] & letter[edges + 1]]
+        begin[inside] = end[inside] = True
+        start, stop = np.flatnonzero(begin), np.flatnonzero(end)
+        words = _mixed(Hashes(data).of(start, stop - start) + (stop - start).astype(np.uint64))
+        yield words, np.searchsorted(start, offsets[at + 1 : to + 1] - a)
+        at = to
+
+
+def pair_keys(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the word before it in its text, 0 where there is none, and a hash of both."""
+    before = np.zeros(len(words), np.uint64)
+    before[1:] = words[:-1]
+    first = np.r_[0, ends[:-1]]
+    before[first[first < len(words)]] = 0
+    return before, _mixed(before * _B + words)
+
+
+@dataclass
+class Table:
+    """Values by sorted keys; a row of zeros or ones stands for what isn't there."""
+
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    values: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    other: float = 0.0
+
+    def __post_init__(self) -> None:
+        order = np.argsort(self.keys)
+        self.keys, self.values = np.r_[self.keys[order], ~np.uint64(0)], np.vstack([self.values[order], np.full((1, self.values.shape[1]), self.other)])
 
-_WORD = re.compile(r"[^\W\d_]+")
-words_of = lambda text: _WORD.findall(text.lower())
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        at[self.keys[at] != keys] = len(self.keys) - 1
+        return self.values[at]
 
 
 @dataclass
 class Model:
-    """``word``: log ratio of a word after any other; ``pair``: after a given one; ``curve``: the logistic's two parameters."""
+    """Discounted shares: of pairs, by class, ordinary first, and of both; of words by class; what contexts leave, likewise; and the shared share of words."""
 
-    word: dict[str, float] = field(default_factory=dict)
-    pair: dict[tuple[str, str], float] = field(default_factory=dict)
+    pairs: Table = field(default_factory=lambda: Table(values=np.zeros((0, 3))))
+    words: Table = field(default_factory=Table)
+    contexts: Table = field(default_factory=lambda: Table(values=np.zeros((0, 3)), other=1.0))
+    shared: Table = field(default_factory=lambda: Table(values=np.zeros((0, 1)), other=1.0))
+    left: tuple[float, float] = (1.0, 1.0)
     curve: tuple[float, float] = (0.0, 0.0)
 
-    def evidence(self, text: str) -> float:
-        """Greatest difference of length-normalised log-likelihoods over windows."""
-        words = words_of(text)
-        get = self.word.get
-        own = [get(w) for w in words]
-        if not words or own.count(None) == len(own):
-            return 0.0
-        own = [0.0 if x is None else self.pair.get((words[k - 1], words[k]), x) if k else x for k, x in enumerate(own)]
-        total = np.concatenate([[0.0], np.cumsum(own)])
-        n = min(WINDOW, len(words))
-        return float((total[n:] - total[:-n]).max() / n)
-
-    def score(self, text: str) -> float:
+    def ratios(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Difference of the log-likelihoods of each word, toxic less ordinary.
+
+        Where neither class has a share of its own the shared one cancels, so any value may stand for it.
+        """
+        before, pair = pair_keys(words, ends)
+        lower = self.words.of(words) + np.array(self.left) * self.shared.of(words)
+        pairs, contexts = self.pairs.of(pair), self.contexts.of(before)
+        both = pairs[:, :2] + contexts[:, :2] * (pairs[:, 2:] + contexts[:, 2:] * lower)
+        return np.log(both[:, 1] / both[:, 0])
+
+    def evidence(self, texts: pa.Array) -> np.ndarray:
+        """Of each text the greatest difference of length-normalised log-likelihoods over windows."""
+        out = [np.zeros(0)]
+        for words, ends in words_of(texts):
+            total = np.r_[0.0, np.cumsum(self.ratios(words, ends))]
+            first = np.r_[0, ends[:-1]]
+            n = ends - first
+            size = np.minimum(n, WINDOW)
+            windows = np.where(n > 0, n - size + 1, 0)
+            start = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(first, windows)
+            value = (total[start + np.repeat(size, windows)] - total[start]) / np.repeat(size, windows)
+            found = np.zeros(len(ends))
+            if len(value):
+                own = np.flatnonzero(windows)
+                found[own] = np.maximum.reduceat(value, (np.cumsum(windows) - windows)[own])
+            out.append(found)
+        return np.concatenate(out)
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
         a, b = self.curve
-        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, a + b * self.evidence(text)))))
+        return 1.0 / (1.0 + np.exp(-np.clip(a + b * self.evidence(texts), -500, 500)))
 
 
 def _map(docs: DataFrame, columns: list[str], schema: str, f) -> DataFrame:  # noqa: ANN001
@@ -85,97 +174,92 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> DataFrame:
-    """``text, toxic`` of the rows to learn from; the identifiers sent to all tasks are at most ``max_rows``."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> tuple[DataFrame, int, int]:
+    """``text, toxic, curve`` of the rows to learn from, and how many rows of either class there are, ordinary first.
+
+    The identifiers sent to all tasks are at most ``max_rows``.
+    """
     rows = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).select("text", "toxic")
-
-
-def _differ(a: float, n: float, b: float, m: float) -> float:
-    """Log-likelihood ratio statistic of a in n against b in m."""
-    p = (a + b) / (n + m)
-    part = lambda x, e: x * math.log(x / e) if x > 0 else 0.0
-    return 2 * (part(a, n * p) + part(n - a, n * (1 - p)) + part(b, m * p) + part(m - b, m * (1 - p)))
-
-
-def candidates(texts: DataFrame) -> tuple[set[str], int, int]:
-    """Words that may tell the classes apart, and the numbers of texts by class."""
-    n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, plain = n.get(1, 0), n.get(0, 0)
-    if not toxic or not plain:
-        return set(), toxic, plain
-
-    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        by: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for text, label in zip(batch.column(0), batch.column(1)):
-            by[label.as_py()].update(set(words_of(text.as_py() or "")))
-        names = list(by[0].keys() | by[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[1][x] for x in names], pa.int64()), pa.array([by[0][x] for x in names], pa.int64())], names=["word", "a", "b"])
-
-    rows = _map(texts, ["text", "toxic"], "word string, a long, b long", count).groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    share_a, share_b = F.col("a") / toxic, F.col("b") / plain
-    # at most (words in a text) / MIN_SHARE of each class pass, whatever the size of the corpus
-    rows = rows.filter(((F.col("a") >= 3) & (share_a >= MIN_SHARE) & (share_a >= RATIO * share_b)) | ((F.col("b") >= 3) & (share_b >= MIN_SHARE) & (share_b >= RATIO * share_a)))
-    found = {r["word"] for r in rows.collect() if _differ(r["a"], toxic, r["b"], plain) >= MIN_CHANCE}
-    return found, toxic, plain
-
-
-def _class_counts(texts: DataFrame, chosen: set[str]) -> tuple[dict[str, list[float]], dict[tuple[str, str], list[float]], list[float]]:
-    """By class: continuation counts of the chosen words, their counts after a word, and tokens in all."""
-
-    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        pairs: Counter = Counter()
-        for text, label in zip(batch.column(0), batch.column(1)):
-            words = words_of(text.as_py() or "")
-            kind = label.as_py()
-            pairs[kind, "", ""] += len(words)
-            before = ""
-            for w in words:
-                if w in chosen:
-                    pairs[kind, before, w] += 1
-                before = w
-        rows = list(pairs.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in rows], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.string()))] + [pa.array([n for _, n in rows], pa.int64())], names=["toxic", "before", "word", "n"])
-
-    pairs = _map(texts, ["text", "toxic"], "toxic int, before string, word string, n long", count).groupBy("toxic", "before", "word").agg(F.sum("n").alias("n"))
-    pairs = materialise(pairs, "pairs")
-    tokens = [0.0, 0.0]
-    for r in pairs.filter("before = '' AND word = ''").collect():
-        tokens[r["toxic"]] = float(r["n"])
-    words: dict[str, list[float]] = {w: [0.0, 0.0] for w in chosen}
-    for r in pairs.filter("word <> ''").groupBy("toxic", "word").agg(F.count(F.lit(1)).alias("n")).collect():
-        words[r["word"]][r["toxic"]] = float(r["n"])
-    # pairs seen at least as often as a class's discount could matter; the shared count has the rest
-    often = pairs.filter("word <> ''").groupBy("before", "word").agg(F.sum(F.expr("if(toxic = 0, n, 0)")).alias("b"), F.sum(F.expr("if(toxic = 1, n, 0)")).alias("a"))
-    least = max(10.0, sum(tokens) * 1e-5)  # at most 1e5 pairs
-    after = {(r["before"], r["word"]): [float(r["b"]), float(r["a"])] for r in often.filter(F.col("a") + F.col("b") >= least).collect()}
-    return words, after, tokens
-
-
-def corpus_counts(docs: DataFrame, chosen: set[str]) -> tuple[dict[str, int], int]:
-    """Over every document: occurrences of the chosen words, and tokens in all."""
-
-    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for text in batch.column(0):
-            words = words_of(text.as_py() or "")
-            seen[""] += len(words)
-            seen.update(filter(chosen.__contains__, words))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    rows = {r["word"]: r["n"] for r in _map(docs, ["text"], "word string, n long", count).groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return rows, rows.pop("", 0)
-
-
-def _curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
+    rows = materialise(rows.withColumn("_hash", F.xxhash64("_id")), "labels")
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    some = [rows.filter(F.col("toxic") == k).orderBy("_hash", "_id").limit(max_rows // 2) for k in (0, 1)]
+    rows = some[0].unionByName(some[1])
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("_id"))
+    return found.select("text", "toxic", (F.pmod(F.shiftright("_hash", 7), F.lit(CURVE)) == 0).alias("curve")), n.get(0, 0), n.get(1, 0)
+
+
+def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Counts of equal rows together."""
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+
+
+def _counted(docs: DataFrame, columns: list[str], schema: str, rows) -> DataFrame:  # noqa: ANN001
+    """Sums of the counts of the rows of numbers that ``rows`` gives for a batch; tasks add up what they can hold."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[list[np.ndarray], np.ndarray]] = []
+        size = 0
+
+        def together() -> tuple[list[np.ndarray], np.ndarray]:
+            return _summed([np.concatenate(c) for c in zip(*(x for x, _ in held))], np.concatenate([n for _, n in held]))
+
+        def out(x: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in x), pa.array(n)], names=[*names, "n"])
+
+        for batch in batches:
+            for x in rows(batch):
+                held.append(_summed(x, np.ones(len(x[0]), np.int64)))
+                size += len(held[-1][1])
+                if size >= HELD:
+                    held = [together()]
+                    size = len(held[0][1])
+                    if size >= HELD // 2:
+                        yield out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield out(*together())
+
+    return docs.select(*columns).mapInArrow(run, f"{schema}, n long").groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """``toxic, before, word, pair, n``: of the word pairs of either class how many different words stand before them."""
+
+    def rows(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        for kind in (0, 1):
+            own = batch.filter(pc.equal(batch.column(1), kind)).column(0)
+            for words, ends in words_of(own):
+                before, pair = pair_keys(words, ends)
+                first = np.r_[0, ends[:-1]]
+                second = np.r_[np.uint64(0), before[:-1]]
+                second[first[first < len(words)]] = 0
+                yield [np.full(len(words), kind, np.uint64), before, words, pair, second]
+
+    found = _counted(texts, ["text", "toxic"], "toxic long, before long, word long, pair long, second long", rows)
+    return found.groupBy("toxic", "before", "word", "pair").agg(F.count(F.lit(1)).alias("n"))
+
+
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """``word, n``: occurrences of every word in all documents."""
+    return _counted(docs, ["text"], "word long", lambda batch: ([words] for words, _ in words_of(batch.column(0))))
+
+
+def _curve(bins: list[tuple[float, float, float]]) -> tuple[float, float]:
     """Logistic curve by Newton's method on (value, toxic, all), lightly held to zero."""
     x = np.array([b[0] for b in bins])
     y, n = np.array([b[1] for b in bins], float), np.array([b[2] for b in bins], float)
     design = np.stack([np.ones_like(x), x], axis=1)
     at = np.array([math.log((y.sum() + 0.5) / (n.sum() - y.sum() + 0.5)), 0.0])
     hold = np.array([1e-6, 1e-3])
-    for _ in range(100):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(design @ at, -30, 30)))
         gradient = design.T @ (y - n * p) - hold * at
         hessian = (design * (n * p * (1 - p))[:, None]).T @ design + np.diag(hold)
@@ -186,63 +270,79 @@ def _curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(at[0]), float(at[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> Model:
+def _table(rows: DataFrame, key: str, columns: list[str], other: float) -> Table:
+    """A table of bounded size: what the labelled rows have more than ``DISCOUNT`` times."""
+    found = rows.select(key, *columns).toArrow()
+    values = np.stack([found[c].to_numpy() for c in columns], axis=1) if len(found) else np.zeros((0, len(columns)))
+    return Table(found[key].to_numpy().astype(np.int64).view(np.uint64), values.astype(float), other)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, discount: float = DISCOUNT) -> Model:
     """Learn from labelled rows outside the held-out fold and from all documents' counts."""
-    texts = materialise(labelled_texts(docs, labels, max_rows), "labelled")
-    chosen, toxic, plain = candidates(texts)
+    texts, plain, toxic = labelled_texts(docs, labels, max_rows)
     model = Model(curve=(math.log((toxic + 0.5) / (plain + 0.5)), 0.0))
-    if not chosen:
+    if not plain or not toxic:
+        return model
+    texts = materialise(texts, "labelled", compression="zstd")
+    counts = materialise(pair_counts(texts.filter("NOT curve").select("text", "toxic")), "pairs", compression="zstd")
+
+    kept = F.least(F.col("n"), F.lit(discount))
+    over = F.greatest(F.col("n") - discount, F.lit(0.0))
+    both = counts.groupBy("before", "word", "pair").agg(F.sum("n").alias("n")).select(F.lit(2).cast("long").alias("toxic"), "before", "word", "pair", "n")
+    every = counts.select("toxic", "before", "word", "pair", "n").unionByName(both)
+    contexts = every.groupBy("toxic", "before").agg(F.sum("n").alias("total"), F.sum(kept).alias("left"), F.max("n").alias("most"))
+    contexts = materialise(contexts.filter(F.col("most") > discount), "contexts")
+    pairs = materialise(every.filter(F.col("n") > discount).join(contexts, ["toxic", "before"]), "often")
+    of = lambda k, share: F.sum(F.when(F.col("toxic") == k, share))
+    left = [F.coalesce(of(k, F.col("left") / F.col("total")), F.lit(1.0)).alias(f"p{k}") for k in range(3)]
+    share = [F.coalesce(of(k, over / F.col("total")), F.lit(0.0)).alias(f"p{k}") for k in range(3)]
+    model.contexts = _table(contexts.groupBy("before").agg(*left), "before", ["p0", "p1", "p2"], 1.0)
+    model.pairs = _table(pairs.groupBy("pair").agg(*share), "pair", ["p0", "p1", "p2"], 0.0)
+    words = materialise(counts.groupBy("toxic", "word").agg(F.count(F.lit(1)).cast("double").alias("n")), "words")
+    totals = {r["toxic"]: (r["total"], r["left"]) for r in words.groupBy("toxic").agg(F.sum("n").alias("total"), F.sum(kept).alias("left")).collect()}
+    if len(totals) < 2:
         return model
-    words, after, tokens = _class_counts(texts, chosen)
-    corpus, size = corpus_counts(docs, chosen)
-    shared = {w: (corpus.get(w, 0) + sum(words[w]) + 0.5) / (size + sum(tokens) + 1.0) for w in chosen}
-    kinds = [max(1.0, sum(c[k] for c in words.values())) for k in (0, 1)]  # continuations of the chosen words
-    mass = [kinds[k] / max(1.0, tokens[k]) for k in (0, 1)]
-    types = [max(1, sum(1 for c in words.values() if c[k])) for k in (0, 1)]
-    known = sum(shared.values())
-
-    def lower(w: str, k: int) -> float:
-        """Continuation probability among the chosen words, times their share of the class's tokens."""
-        weight = DISCOUNT * types[k] / (kinds[k] + types[k])
-        return mass[k] * ((1 - weight) * words[w][k] / kinds[k] + weight * shared[w] / known)
-
-    model.word = {w: math.log(lower(w, 1) / lower(w, 0)) for w in sorted(chosen)}
-    for (v, w), c in after.items():
-        p = [max(c[k] - DISCOUNT, 0.0) / max(tokens[k], 1.0) + DISCOUNT * lower(w, k) for k in (0, 1)]
-        ratio = math.log(p[1] / p[0])
-        if abs(ratio) > abs(model.word[w]):
-            continue  # a context may weaken a word's evidence; copies of one text must not strengthen it
-        model.pair[v, w] = ratio
+    model.left = tuple(totals[k][1] / totals[k][0] for k in (0, 1))
+    total = F.when(F.col("toxic") == 1, totals[1][0]).otherwise(totals[0][0])
+    share = [F.coalesce(of(k, over / total), F.lit(0.0)).alias(f"p{k}") for k in (0, 1)]
+    model.words = _table(words.filter(F.col("n") > discount).groupBy("word").agg(*share), "word", ["p0", "p1"], 0.0)
+    # only of words that a class has a share of: the shared estimate of others cancels
+    known = words.filter(F.col("n") > discount).select("word").unionByName(pairs.select("word")).distinct()
+    corpus = materialise(corpus_counts(docs), "corpus", compression="zstd")
+    size = corpus.agg(F.sum("n")).first()[0]
+    model.shared = _table(corpus.join(known, "word").select("word", (F.col("n") / size).alias("share")), "word", ["share"], 1.0)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     top = BINS * BIN_WIDTH
 
     def place(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bins = [int(max(-top, min(top, model.evidence(t.as_py() or ""))) // BIN_WIDTH) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), batch.column(1)], names=["bin", "toxic"])
-
-    bins = _map(texts, ["text", "toxic"], "bin int, toxic int", place).groupBy("bin").agg(F.sum("toxic").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
-    model.curve = _curve([((r["bin"] + 0.5) * BIN_WIDTH, r["y"], r["n"]) for r in bins])
+        bins = np.clip(sent.value.evidence(batch.column(0)), -top, top) // BIN_WIDTH
+        yield pa.RecordBatch.from_arrays([pa.array(bins.astype(np.int32)), batch.column(1)], names=["bin", "toxic"])
+
+    bins = _map(texts.filter("curve"), ["text", "toxic"], "bin int, toxic int", place).groupBy("bin", "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("bin", "toxic").collect()
+    # either class at its own proportion
+    weight = {k: n / min(n, max_rows // 2) for k, n in enumerate((plain, toxic))}
+    if bins:
+        model.curve = _curve([((r["bin"] + 0.5) * BIN_WIDTH, weight[1] * r["n"] * r["toxic"], weight[r["toxic"]] * r["n"]) for r in bins])
     return model
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``doc_id`` and the probability that a text is toxic."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        values = [model.score(t.as_py() or "") for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], names=["doc_id", column])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.scores(batch.column(1)), pa.float64())], names=["doc_id", column])
 
-    return _map(docs, ["doc_id", "text"], f"doc_id long, `{column}` double", run)
+    return _map(docs, ["doc_id", "text"], f"doc_id {dict(docs.dtypes)['doc_id']}, `{column}` double", run)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the texts that score ``threshold`` or more, all columns and rows otherwise as they are."""
-    model = fit(docs, labels)
-    columns = docs.columns
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = columns.index("text")
         for batch in batches:
-            keep = [model.score(t.as_py() or "") < threshold for t in batch.column(at)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(sent.value.scores(batch.column(at)) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
