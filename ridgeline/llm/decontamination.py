@@ -10,7 +10,8 @@ What is retrieved is verified on words: shares of the question's and of the answ
 passage.  An item's answer is its last sentence or line, its question what comes before.
 
 The index is sent to all tasks.  Items are taken in blocks of at most ``BLOCK_BYTES`` of text, one pass over the
-documents for each, so a table of any size is searched whole with bounded memory.
+documents for each, so a table of any size is searched whole with bounded memory.  BM25's statistics (segments, their mean
+length, in how many of them a word is) are those of all items, so scores don't depend on the blocks.
 
 Defined results: a NULL or empty text or item, and an item without words, matches nothing; equal items are all
 reported; repeated rows are reported each time; a NULL identifier is carried along; very long texts are searched whole;
@@ -21,15 +22,19 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.scratch import materialise
+
 SEGMENT = 96
 K1, B = 1.2, 0.75
 #: Segments that share a block maximum.
@@ -52,24 +57,42 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if words else set()
 
 
+def segments_of(text: str) -> list[list[str]]:
+    """The words of an item in segments of at most ``SEGMENT``, about equally long."""
+    words = words_of(text)
+    parts = max(1, -(-len(words) // SEGMENT))
+    return [own for p in range(parts) if (own := words[len(words) * p // parts : len(words) * (p + 1) // parts])]
+
+
+@dataclass
+class Statistics:
+    """Of all items: segments, their mean length, and in how many each word is."""
+
+    segments: int
+    mean: float
+    containing: dict[str, int]
+
+    @staticmethod
+    def of(texts: Iterable[str]) -> Statistics:
+        own = [s for t in texts for s in segments_of(t)]
+        return Statistics(len(own), sum(map(len, own)) / max(1, len(own)), Counter(w for s in own for w in set(s)))
+
+
 class Index:
     """Inverted index of items; ``search`` retrieves all segments that score the threshold or more."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, statistics: Statistics | None = None):
         self.threshold = threshold
         self.item: list[int] = []
         self.text: list[tuple[int, str]] = items
         segments: list[list[str]] = []
         for k, (_, text) in enumerate(items):
-            words = words_of(text)
-            parts = max(1, -(-len(words) // SEGMENT))
-            for p in range(parts):
-                if own := words[len(words) * p // parts : len(words) * (p + 1) // parts]:
-                    segments.append(own)
-                    self.item.append(k)
-        n, mean = len(segments), sum(map(len, segments)) / max(1, len(segments))
-        in_segments = Counter(w for s in segments for w in set(s))
-        idf = {w: math.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in in_segments.items()}
+            own = segments_of(text)
+            segments += own
+            self.item += [k] * len(own)
+        known = statistics or Statistics.of(text for _, text in items)
+        n, mean = known.segments, known.mean
+        idf = {w: math.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in known.containing.items()}
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, s in enumerate(segments):
             own = {w: idf[w] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(s) / mean)) for w, c in Counter(s).items()}
@@ -179,32 +202,73 @@ class Index:
         return out
 
 
+#: Indexes that this worker has built, by block; the last few are kept.
+_BUILT: dict[str, Index] = {}
+
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+@dataclass
+class Block:
+    """Some items with the statistics of all, sent to all tasks."""
+
+    name: str
+    items: list[tuple[int, str]]
+    statistics: Statistics
+    threshold: float
+
+    def index(self) -> Index:
+        if self.name not in _BUILT:
+            while len(_BUILT) >= 2:
+                del _BUILT[next(iter(_BUILT))]
+            _BUILT[self.name] = Index(self.items, self.threshold, self.statistics)
+        return _BUILT[self.name]
+
+
+def _blocks(benchmark: DataFrame, threshold: float) -> Iterator[Block]:
     """Items in blocks of bounded size, read one partition at a time."""
+    spark = benchmark.sparkSession
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = Statistics.of(x.as_py() for x in batch.column(0))
+            # no word is empty or has a space
+            names, n = ["", " ", *own.containing], [own.segments, round(own.segments * own.mean), *own.containing.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n, pa.int64())], names=["word", "n"])
+
+    counts = materialise(items.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = {r["word"]: r["n"] for r in counts.filter("trim(word) = ''").collect()}
+    if not total.get(""):
+        return
+
+    def made(block: list[tuple[int, str]]) -> Block:
+        words = sorted({w for _, text in block for w in words_of(text)})
+        known = counts.join(F.broadcast(spark.createDataFrame(pa.table({"word": words}))), "word")
+        containing = {r["word"]: r["n"] for r in known.toLocalIterator()}
+        return Block(uuid.uuid4().hex, block, Statistics(total[""], total[" "] / total[""], containing), threshold)
+
     block, size = [], 0
-    for r in benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text").toLocalIterator():
+    for r in items.orderBy("item_id", "text").toLocalIterator():
         if words_of(r["text"]):
             block.append((r["item_id"], r["text"]))
             size += len(r["text"])
         if size >= BLOCK_BYTES:
-            yield block
+            yield made(block)
             block, size = [], 0
     if block:
-        yield block
+        yield made(block)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified pairs ``doc_id, item_id, score, question_overlap, answer_overlap``."""
     spark, schema = docs.sparkSession, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], schema)
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, threshold):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            index = Index(sent.value, threshold)
+            index, items = sent.value.index(), sent.value.items
             for batch in batches:
-                rows = [(i.as_py(), sent.value[k][0], s, q, r) for i, t in zip(batch.column(0), batch.column(1)) if t.is_valid for k, s, q, r in index.matches(t.as_py())]
+                rows = [(i.as_py(), items[k][0], s, q, r) for i, t in zip(batch.column(0), batch.column(1)) if t.is_valid for k, s, q, r in index.matches(t.as_py())]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -215,11 +279,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that hold a test item, all columns as they are."""
     spark, at = docs.sparkSession, docs.columns.index("text")
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, threshold):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            index = Index(sent.value, threshold)
+            index = sent.value.index()
             for batch in batches:
                 yield batch.filter(pa.array([not (t.is_valid and index.matches(t.as_py())) for t in batch.column(at)], pa.bool_()))
 

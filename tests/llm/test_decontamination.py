@@ -46,3 +46,12 @@ def test_leaks_of_odd_rows(spark):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [*range(10), 12]
     assert d.find_leaks(docs, items.limit(0)).count() == 0 and d.find_leaks(rows_of(spark, []), items).count() == 0
     assert d.drop_leaks(docs, items.limit(0)).count() == 13
+
+
+def test_scores_do_not_depend_on_the_blocks(spark, sf_dir, monkeypatch):
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda: sorted(tuple(r) for r in d.find_leaks(docs, benchmark).collect())
+    kept = lambda: sorted(r["doc_id"] for r in d.drop_leaks(docs, benchmark).select("doc_id").collect())
+    one, whole = rows(), kept()
+    monkeypatch.setattr(d, "BLOCK_BYTES", 3000)
+    assert rows() == one and len(one) and kept() == whole
