@@ -390,8 +390,8 @@ def _covered(kinds: DataFrame, length: int, hot: int, widths: tuple[int, ...]) -
     return out.unionByName(back.select("kind", (F.col("at") + F.col("span.start")).alias("start"), (F.col("at") + F.col("span.end")).alias("end")))
 
 
-def _merged(spans: DataFrame, by: str) -> DataFrame:
-    """Spans by text or piece as maximal runs."""
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans of texts as maximal runs."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,10 +403,10 @@ def _merged(spans: DataFrame, by: str) -> DataFrame:
                 a, b = a[order], np.maximum.accumulate(b[order])
                 cut = np.flatnonzero(a[1:] > b[:-1]) + 1
                 out.append([{"start": int(i), "end": int(j)} for i, j in zip(a[np.r_[0, cut]], b[np.r_[cut - 1, len(b) - 1]])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=[by, "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["digest", "spans"])
 
-    parts = spans.groupBy(by).agg(F.collect_set(F.struct("start", "end")).alias("parts"))
-    return parts.mapInArrow(run, f"{by} {dict(spans.dtypes)[by]}, spans {SPANS}")
+    parts = spans.groupBy("digest").agg(F.collect_set(F.struct("start", "end")).alias("parts"))
+    return parts.mapInArrow(run, f"digest binary, spans {SPANS}")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, hot: int = HOT) -> DataFrame:
@@ -417,12 +417,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, ho
     candidates = materialise(_candidates(texts.select("digest", "text"), keys, length, kgram), "candidates", compression="zstd")
     counts = candidates.groupBy("key", "one", "two").agg(F.count(F.lit(1)).alias("times"))
     kinds = _kinds(candidates.filter("piece IS NOT NULL"), counts)
-    covered = materialise(_merged(_covered(kinds, length, hot, (min(RUN, length // 4), 1)), "kind"), "covered")
+    covered = _covered(kinds, length, hot, (min(RUN, length // 4), 1)).groupBy("kind").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    covered = materialise(covered, "covered")
     places = candidates.select("digest", "first", F.struct("key", "one", "two").alias("kind"))
     hit = lookup_join(places, covered, "kind", "inner").select("digest", "first", F.explode("spans").alias("span"))
     copied = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("end")).filter("n > 1")
     spans = hit.select("digest", (F.col("first") + F.col("span.start")).alias("start"), (F.col("first") + F.col("span.end")).alias("end"))
-    spans = materialise(_merged(spans.unionByName(copied.select("digest", F.lit(0).alias("start"), "end")), "digest"), "spans")
+    spans = materialise(_merged(spans.unionByName(copied.select("digest", F.lit(0).alias("start"), "end"))), "spans")
     out = lookup_join(rows, spans, "digest", "left")
     return out.select("doc_id", "text", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
