@@ -90,13 +90,17 @@ def words_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = to
 
 
+def pair_hash(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return _mixed(before * _B + words)
+
+
 def pair_keys(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word the word before it in its text, 0 where there is none, and a hash of both."""
     before = np.zeros(len(words), np.uint64)
     before[1:] = words[:-1]
     first = np.r_[0, ends[:-1]]
     before[first[first < len(words)]] = 0
-    return before, _mixed(before * _B + words)
+    return before, pair_hash(before, words)
 
 
 @dataclass
@@ -200,8 +204,8 @@ def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndar
     return [c[at] for c in columns], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
 
 
-def _counted(docs: DataFrame, columns: list[str], schema: str, rows) -> DataFrame:  # noqa: ANN001
-    """Sums of the counts of the rows of numbers that ``rows`` gives for a batch; tasks add up what they can hold."""
+def _rows(docs: DataFrame, columns: list[str], schema: str, rows) -> DataFrame:  # noqa: ANN001
+    """The rows of numbers that ``rows`` gives for a batch and their counts ``n``; tasks add up what they can hold."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,29 +231,33 @@ def _counted(docs: DataFrame, columns: list[str], schema: str, rows) -> DataFram
         if held:
             yield out(*together())
 
-    return docs.select(*columns).mapInArrow(run, f"{schema}, n long").groupBy(*names).agg(F.sum("n").alias("n"))
+    return docs.select(*columns).mapInArrow(run, f"{schema}, n long")
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
-    """``toxic, before, word, pair, n``: of the word pairs of either class how many different words stand before them."""
+    """``toxic, before, word, n``: of the word pairs of either class how many different words stand before them.
+
+    Tasks send each triple once; those of a pair meet in one shuffle, at most as many as the labelled texts have.
+    """
 
     def rows(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         for kind in (0, 1):
             own = batch.filter(pc.equal(batch.column(1), kind)).column(0)
             for words, ends in words_of(own):
-                before, pair = pair_keys(words, ends)
+                before, _ = pair_keys(words, ends)
                 first = np.r_[0, ends[:-1]]
                 second = np.r_[np.uint64(0), before[:-1]]
                 second[first[first < len(words)]] = 0
-                yield [np.full(len(words), kind, np.uint64), before, words, pair, second]
+                yield [np.full(len(words), kind, np.uint64), before, words, second]
 
-    found = _counted(texts, ["text", "toxic"], "toxic long, before long, word long, pair long, second long", rows)
-    return found.groupBy("toxic", "before", "word", "pair").agg(F.count(F.lit(1)).alias("n"))
+    found = _rows(texts, ["text", "toxic"], "toxic long, before long, word long, second long", rows).drop("n").repartition("before", "word").distinct()
+    return found.groupBy("toxic", "before", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
     """``word, n``: occurrences of every word in all documents."""
-    return _counted(docs, ["text"], "word long", lambda batch: ([words] for words, _ in words_of(batch.column(0))))
+    found = _rows(docs, ["text"], "word long", lambda batch: ([words] for words, _ in words_of(batch.column(0))))
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _curve(bins: list[tuple[float, float, float]]) -> tuple[float, float]:
@@ -270,11 +278,12 @@ def _curve(bins: list[tuple[float, float, float]]) -> tuple[float, float]:
     return float(at[0]), float(at[1])
 
 
-def _table(rows: DataFrame, key: str, columns: list[str], other: float) -> Table:
-    """A table of bounded size: what the labelled rows have more than ``DISCOUNT`` times."""
-    found = rows.select(key, *columns).toArrow()
+def _table(rows: DataFrame, key: list[str], columns: list[str], other: float) -> Table:
+    """A table of bounded size: what the labelled rows have more than ``DISCOUNT`` times.  A key of two columns is a word pair."""
+    found = rows.select(*key, *columns).toArrow()
     values = np.stack([found[c].to_numpy() for c in columns], axis=1) if len(found) else np.zeros((0, len(columns)))
-    return Table(found[key].to_numpy().astype(np.int64).view(np.uint64), values.astype(float), other)
+    keys = [found[c].to_numpy().astype(np.int64).view(np.uint64) for c in key]
+    return Table(keys[0] if len(key) == 1 else pair_hash(*keys), values.astype(float), other)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, discount: float = DISCOUNT) -> Model:
@@ -288,16 +297,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, discou
 
     kept = F.least(F.col("n"), F.lit(discount))
     over = F.greatest(F.col("n") - discount, F.lit(0.0))
-    both = counts.groupBy("before", "word", "pair").agg(F.sum("n").alias("n")).select(F.lit(2).cast("long").alias("toxic"), "before", "word", "pair", "n")
-    every = counts.select("toxic", "before", "word", "pair", "n").unionByName(both)
+    both = counts.groupBy("before", "word").agg(F.sum("n").alias("n")).select(F.lit(2).cast("long").alias("toxic"), "before", "word", "n")
+    every = counts.unionByName(both)
     contexts = every.groupBy("toxic", "before").agg(F.sum("n").alias("total"), F.sum(kept).alias("left"), F.max("n").alias("most"))
     contexts = materialise(contexts.filter(F.col("most") > discount), "contexts")
     pairs = materialise(every.filter(F.col("n") > discount).join(contexts, ["toxic", "before"]), "often")
     of = lambda k, share: F.sum(F.when(F.col("toxic") == k, share))
     left = [F.coalesce(of(k, F.col("left") / F.col("total")), F.lit(1.0)).alias(f"p{k}") for k in range(3)]
     share = [F.coalesce(of(k, over / F.col("total")), F.lit(0.0)).alias(f"p{k}") for k in range(3)]
-    model.contexts = _table(contexts.groupBy("before").agg(*left), "before", ["p0", "p1", "p2"], 1.0)
-    model.pairs = _table(pairs.groupBy("pair").agg(*share), "pair", ["p0", "p1", "p2"], 0.0)
+    model.contexts = _table(contexts.groupBy("before").agg(*left), ["before"], ["p0", "p1", "p2"], 1.0)
+    model.pairs = _table(pairs.groupBy("before", "word").agg(*share), ["before", "word"], ["p0", "p1", "p2"], 0.0)
     words = materialise(counts.groupBy("toxic", "word").agg(F.count(F.lit(1)).cast("double").alias("n")), "words")
     totals = {r["toxic"]: (r["total"], r["left"]) for r in words.groupBy("toxic").agg(F.sum("n").alias("total"), F.sum(kept).alias("left")).collect()}
     if len(totals) < 2:
@@ -305,12 +314,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, discou
     model.left = tuple(totals[k][1] / totals[k][0] for k in (0, 1))
     total = F.when(F.col("toxic") == 1, totals[1][0]).otherwise(totals[0][0])
     share = [F.coalesce(of(k, over / total), F.lit(0.0)).alias(f"p{k}") for k in (0, 1)]
-    model.words = _table(words.filter(F.col("n") > discount).groupBy("word").agg(*share), "word", ["p0", "p1"], 0.0)
+    model.words = _table(words.filter(F.col("n") > discount).groupBy("word").agg(*share), ["word"], ["p0", "p1"], 0.0)
     # only of words that a class has a share of: the shared estimate of others cancels
     known = words.filter(F.col("n") > discount).select("word").unionByName(pairs.select("word")).distinct()
     corpus = materialise(corpus_counts(docs), "corpus", compression="zstd")
     size = corpus.agg(F.sum("n")).first()[0]
-    model.shared = _table(corpus.join(known, "word").select("word", (F.col("n") / size).alias("share")), "word", ["share"], 1.0)
+    model.shared = _table(corpus.join(known, "word").select("word", (F.col("n") / size).alias("share")), ["word"], ["share"], 1.0)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     top = BINS * BIN_WIDTH
 
