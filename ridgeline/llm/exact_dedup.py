@@ -103,15 +103,15 @@ def drop_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     of rows that repeat identifier and text, one stays.
     """
     out = materialise(equal_texts(docs, keep=keep), "equal")
-    gone = out.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", "digest")
-    mine = docs.withColumn("_digest", sha256(F.coalesce("text", F.lit(""))))
-    gone = gone.withColumnRenamed("doc_id", "_gone").withColumnRenamed("digest", "_of")
-    left = mine.join(gone, (mine["doc_id"] == gone["_gone"]) & (mine["_digest"] == gone["_of"]), "left_anti")
+    taken = {c.lower() for c in docs.columns}
+    own, of, gone_id = (next(x for k in range(len(taken) + 1) if (x := f"{name}{'_' * k}") not in taken) for name in ("_digest", "_of", "_gone"))
+    gone = out.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(gone_id), F.col("digest").alias(of))
+    mine = docs.withColumn(own, sha256(F.coalesce("text", F.lit(""))))
+    left = mine.join(gone, (mine["doc_id"] == gone[gone_id]) & (mine[own] == gone[of]), "left_anti")
     again = out.filter("kept").groupBy("doc_id", "digest").count().filter("count > 1")
-    nulls = out.filter("doc_id IS NULL AND keep_id IS NOT NULL").select("digest").distinct()
+    nulls = out.filter("doc_id IS NULL AND keep_id IS NOT NULL").select(F.col("digest").alias(of)).distinct()
     if not nulls.isEmpty():
-        nulls = nulls.withColumnRenamed("digest", "_of")
-        left = left.join(nulls, left["doc_id"].isNull() & (left["_digest"] == nulls["_of"]), "left_anti")
+        left = left.join(nulls, left["doc_id"].isNull() & (left[own] == nulls[of]), "left_anti")
     if not again.isEmpty():
-        left = left.dropDuplicates(["doc_id", "_digest"])
-    return left.drop("_digest")
+        left = left.dropDuplicates(["doc_id", own])
+    return left.drop(own)

@@ -304,3 +304,9 @@ def test_metadata_with_the_names_of_the_files_columns(spark, tmp_path):
     token_files.write_token_files(docs, str(tmp_path / "a"), public_tokenizers.path("byte_bpe_50k.json"), 0, ("part", "ids", "n_tokens", "Start"))
     (got,) = token_files.read_token_files(spark, str(tmp_path / "a")).collect()
     assert (got["part_"], got["ids_"], got["n_tokens_"], got["Start_"], got["n_tokens"], got["start"]) == (7, "x", 3, 9, 3, 0)
+
+
+def test_dropping_copies_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a", "x", 1), (2, "a", "y", 2), (3, "b", "z", 3), (3, "b", "z", 3), (None, "b", "w", 4)], "doc_id long, text string, _digest string, _of int")
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns and sorted(tuple(r) for r in left.collect()) == [(2, "a", "y", 2), (3, "b", "z", 3)]
