@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences.
 
 Each stage gets all that its predecessor kept and returns the columns of ``documents``; the last returns packed
-pieces.  Rows that a stage doesn't reject go on unchanged.
+pieces.  Rows that a stage doesn't reject go on unchanged, extra columns of any name too.
+
+Defined results: a NULL text counts as empty, is never toxic nor a leak, and is a copy of other empty texts; rows that
+repeat identifier and text leave one; a row without an identifier stays unless its text has a copy with one; long texts
+are taken whole; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -16,22 +20,27 @@ from ridgeline.scratch import materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score less than 0.7 for toxicity."""
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), 0.7)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the greatest identifier."""
     return exact_dedup.drop_copies(docs, keep="max")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts whose fingerprints a chain of links connects the row with the least identifier."""
     return simhash_dedup.drop_near_copies(docs, threshold=4, width=4)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
     return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids in sequences of 1024."""
     pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, 1024, digest=True)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
