@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators.skew import lookup_join
-from ridgeline.scratch import materialise
+from ridgeline.scratch import materialise, release
 
 
 def _star(edges: DataFrame, rows: int) -> DataFrame:
@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     ``edges`` has two columns of one ordered type.  Direction, repeated edges and loops don't matter; rows with a
     NULL end are left out.  Rounds alternate a min-star over larger neighbours with one over smaller ones, so paths
-    shorten geometrically; each round is written to the shared folder.  An edge-free input gives no rows.
+    shorten geometrically; each round is written to the shared folder, and the one before it deleted.  An edge-free input gives no rows.
     """
     a, b = edges.columns[:2]
     tidy = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter((F.col(a) != F.col(b))).distinct()
@@ -33,12 +33,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         if not rows:
             break
-        tidy = materialise(_star(tidy, rows), "edges")
+        starred = materialise(_star(tidy, rows), "edges")
+        release(tidy)
         # small star: every node's smaller neighbours and itself are tied to the least of them
-        least = tidy.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        forked = tidy.join(least.filter("n > 1"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = starred.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        forked = starred.join(least.filter("n > 1"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         tidy = forked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         tidy = materialise(tidy, "edges")
+        release(starred)
         state = tidy.agg(F.count(F.lit(1)), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         rows = state[0]
         if tuple(state) == before:

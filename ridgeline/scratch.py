@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
+_PATH = "_scratch_path"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +46,29 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once nothing that is still to run reads them; others are left alone.
+
+    The driver's JVM is asked to collect garbage, upon which Spark deletes the shuffle files of ended jobs too.
+    """
+    for df in tables:
+        if path := df.__dict__.get(_PATH):
+            _delete(df.sparkSession, path)
+            with contextlib.suppress(ValueError):
+                _MADE.remove((df.sparkSession, path))
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def remove_all() -> None:
@@ -53,6 +76,4 @@ def remove_all() -> None:
     while _MADE:
         spark, path = _MADE.pop()
         with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
