@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators.components import connected_components
 from ridgeline.operators.skew import HEAVY_SHARE, lookup_join
-from ridgeline.scratch import materialise
+from ridgeline.scratch import materialise, release
 
 SHINGLE = 5
 #: Words of the shortest passage.
@@ -53,6 +53,8 @@ JOINED = 3
 DEALT = 500
 #: Counters that order shingles by how common they are, by which runs are told apart; more tell more, and any order is exact.
 COUNTERS = 1 << 20
+#: Rare shingles that a run's row carries, by which a pair that has several in common is made for the least of them only; any number is exact.
+CARRIED = 8
 #: Functions whose signatures are noted: more make fewer keys, fewer less to shuffle.
 NOTED = 3
 #: Shingles of several texts handled at a time, about.
@@ -334,7 +336,9 @@ def _verified(texts: DataFrame, pairs: DataFrame, least: int, similarity: float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["doc_id", "other_id", "good"])
 
     found = both.select("doc_id", "other_id", "places", "text", "other").mapInArrow(run, "doc_id long, other_id long, good boolean")
-    return materialise(settled.unionByName(found.groupBy("doc_id", "other_id").agg(F.bool_or("good").alias("good"))), "verified")
+    out = materialise(settled.unionByName(found.groupBy("doc_id", "other_id").agg(F.bool_or("good").alias("good"))), "verified")
+    release(texts, half)
+    return out
 
 
 def _classes(rows: DataFrame, classes: DataFrame, column: str, name: str) -> DataFrame:
@@ -345,21 +349,27 @@ def _classes(rows: DataFrame, classes: DataFrame, column: str, name: str) -> Dat
 
 def _open_rows(rows: DataFrame, groups: DataFrame, unlike: DataFrame, classes: DataFrame) -> DataFrame:
     """All rows, with their classes, of keys whose documents aren't in one class yet."""
-    apart = materialise(_classes(unlike, classes, "doc_id", "class"), "apart")
-    apart = materialise(_classes(apart, classes, "other_id", "other_class").filter("class <> other_class").select("doc_id", "other_id"), "apart")
+    one = materialise(_classes(unlike, classes, "doc_id", "class"), "apart")
+    apart = materialise(_classes(one, classes, "other_id", "other_class").filter("class <> other_class").select("doc_id", "other_id"), "apart")
     ties = _tied(_rows_of(rows, apart.select("doc_id")), groups.select("key", "other_id", "n")).select("key", "doc_id", "other_id")
     keys = materialise(ties.join(apart, ["doc_id", "other_id"], "left_semi").select("key").distinct(), "open-keys")
     some = materialise(_rows_of(rows, keys), "some", compression="zstd")
-    some = materialise(lookup_join(some, keys, "key", "inner"), "open", compression="zstd")
-    return materialise(_classes(some, classes, "doc_id", "class"), "open", compression="zstd")
+    held = materialise(lookup_join(some, keys, "key", "inner"), "open", compression="zstd")
+    release(some)
+    out = materialise(_classes(held, classes, "doc_id", "class"), "open", compression="zstd")
+    release(one, apart, keys, held)
+    return out
 
 
 def _equal_runs(rows: DataFrame) -> DataFrame:
-    """Rows beside the least document that has an equal run for their key."""
+    """Rows beside the least document of another class that has an equal run for their key; written."""
     rows = materialise(rows.withColumn("run", F.struct("key", "span")), "runs", compression="zstd")
     least = rows.groupBy("run").agg(F.min(F.struct("doc_id", "class", "first", "last")).alias("least"))
     least = least.select("run", *(F.col(f"least.{x}").alias(f"other_{x.removeprefix('doc_')}") for x in ("doc_id", "class", "first", "last")))
-    return lookup_join(rows, least, "run", "inner").withColumn("other_span", F.col("span")).filter("doc_id <> other_id")
+    found = lookup_join(rows, least, "run", "inner").withColumn("other_span", F.col("span")).filter("doc_id <> other_id AND class <> other_class")
+    out = materialise(found, "equal", compression="zstd")
+    release(rows)
+    return out
 
 
 def rare_shingles(h: np.ndarray, rank: np.ndarray, least: int, similarity: float) -> np.ndarray:
@@ -378,7 +388,7 @@ def rare_shingles(h: np.ndarray, rank: np.ndarray, least: int, similarity: float
 
 
 def _rare(runs: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
-    """``at, rare``: for each run ``struct(doc_id, first, last)`` its rare shingles, each once."""
+    """``doc_id, first, last, rare, lesser``: for each run its rare shingles, each once, beside the first ``CARRIED`` that are less."""
     places = runs.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("places"))
     texts = _rows_of(texts, runs.select("doc_id")).dropDuplicates(["doc_id", "text"])
     work = materialise(texts.join(places, "doc_id").select("doc_id", "text", "places"), "runs", compression="zstd")
@@ -407,30 +417,43 @@ def _rare(runs: DataFrame, texts: DataFrame, least: int, similarity: float) -> D
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, a, b, part in each(batch):
-                found = rare_shingles(part, known.value[(part & np.uint64(COUNTERS - 1)).astype(np.int64)], least, similarity)
-                columns = [pa.array(np.full(len(found), x)) for x in (i, a, b)]
-                yield pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.int32()), columns[2].cast(pa.int32()), pa.array(found.view(np.int64))], names=["doc_id", "first", "last", "rare"])
+                found = np.sort(rare_shingles(part, known.value[(part & np.uint64(COUNTERS - 1)).astype(np.int64)], least, similarity).view(np.int64))
+                ends = np.r_[0, np.cumsum(np.minimum(np.arange(len(found)), CARRIED))]
+                lesser = pa.array(np.concatenate([found[:0], *(found[: min(k, CARRIED)] for k in range(len(found)))]))
+                columns = [pa.array(np.full(len(found), x, t)) for x, t in ((i, np.int64), (a, np.int32), (b, np.int32))]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), lesser)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found), lists], names=["doc_id", "first", "last", "rare", "lesser"])
 
-    return work.mapInArrow(pick, "doc_id long, first int, last int, rare long").distinct()
+    return work.mapInArrow(pick, "doc_id long, first int, last int, rare long, lesser array<long>").distinct()
 
 
 def _across(rows: DataFrame, groups: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
-    """Runs of a key that differ and are in different classes; those that the key's ties were compared with are left out, and those that no rare shingle is common to can't be alike."""
+    """Pairs whose runs have a key in common, differ and are in different classes; written.
+
+    Runs that the key's ties were compared with are left out, and those that no rare shingle is common to can't be alike.
+    """
     one = rows.groupBy("key", "class", "span").agg(F.min(F.struct("doc_id", "first", "last")).alias("at"))
     done = groups.select("key", F.col("other_span").alias("span"))
     one = materialise(one.join(_rows_of(done, rows.select("key").distinct()), ["key", "span"], "left_anti").select("key", "class", "span", "at.*"), "one", compression="zstd")
     mixed = one.groupBy("key").agg(F.min("class").alias("u"), F.max("class").alias("v")).filter("u <> v").select("key")
-    one = materialise(lookup_join(one, mixed, "key", "inner"), "one", compression="zstd")
-    rare = _rare(one.select("doc_id", "first", "last").distinct(), texts, least, similarity)
-    one = one.join(rare, ["doc_id", "first", "last"]).select(F.struct("key", "rare").alias("key"), "class", "span", "doc_id", "first", "last")
-    one = materialise(one, "rare", compression="zstd")
-    sizes = one.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("u"), F.max("class").alias("v")).filter("u <> v")
+    apart = materialise(lookup_join(one, mixed, "key", "inner"), "one", compression="zstd")
+    release(one)
+    rare = _rare(apart.select("doc_id", "first", "last").distinct(), texts, least, similarity)
+    beside = apart.join(rare, ["doc_id", "first", "last"]).select(F.struct("key", "rare").alias("key"), "lesser", "class", "span", "doc_id", "first", "last")
+    beside = materialise(beside, "rare", compression="zstd")
+    release(apart)
+    sizes = beside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("u"), F.max("class").alias("v")).filter("u <> v")
     # a large key is dealt to many tasks: each has a share of its runs beside all of them
-    one = materialise(lookup_join(one, sizes.select("key", F.ceil(F.col("n") / DEALT).cast("int").alias("parts")), "key", "inner"), "dealt", compression="zstd")
-    left = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    right = one.withColumn("part", F.pmod(F.xxhash64("span"), F.col("parts")).cast("int")).drop("parts")
-    right = right.withColumnsRenamed({"doc_id": "other_id", **{x: f"other_{x}" for x in ("class", "first", "last", "span")}})
-    return left.join(right, ["key", "part"]).filter("class <> other_class AND doc_id > other_id")
+    dealt = materialise(lookup_join(beside, sizes.select("key", F.ceil(F.col("n") / DEALT).cast("int").alias("parts")), "key", "inner"), "dealt", compression="zstd")
+    release(beside)
+    left = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = dealt.withColumn("part", F.pmod(F.xxhash64("span"), F.col("parts")).cast("int")).drop("parts")
+    right = right.withColumnsRenamed({"doc_id": "other_id", **{x: f"other_{x}" for x in ("class", "first", "last", "span", "lesser")}})
+    # two runs meet at every rare shingle they have in common, the least of which is enough
+    met = left.join(right, ["key", "part"]).filter("class <> other_class AND doc_id > other_id AND NOT arrays_overlap(lesser, other_lesser)")
+    out = materialise(_pairs(met), "across", compression="zstd")
+    release(dealt)
+    return out
 
 
 def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -466,13 +489,16 @@ def passages(docs: DataFrame, hashes: int = HASHES, length: int = LENGTH, simila
         return out
     classes = materialise(connected_components(out.select("doc_id", "other_id")), "classes")
     left = _open_rows(rows, groups, unlike, classes)
-    equal = materialise(_equal_runs(left).filter("class <> other_class"), "equal", compression="zstd")
+    release(rows, verified, pairs, classes)
+    equal = _equal_runs(left)
     if not equal.isEmpty():
         same = equal.groupBy("doc_id", "other_id").agg(F.min("first").alias("a"), F.max("last").alias("b"))
         out = out.unionByName(linked(same, same.select("doc_id", "other_id", F.lit(True).alias("good"))))
         joined = connected_components(equal.select("class", "other_class")).withColumnsRenamed({"node": "class", "component": "whole"})
-        left = materialise(lookup_join(left, joined, "class", "left").withColumn("class", F.coalesce("whole", "class")).drop("whole"), "open", compression="zstd")
-    pairs = materialise(_pairs(_across(left, groups, texts, least, similarity)), "across", compression="zstd")
+        before, left = left, materialise(lookup_join(left, joined, "class", "left").withColumn("class", F.coalesce("whole", "class")).drop("whole"), "open", compression="zstd")
+        release(before)
+    pairs = _across(left, groups, texts, least, similarity)
+    release(left, groups)
     return out.unionByName(linked(pairs, _verified(texts, pairs, least, similarity)))
 
 
