@@ -53,8 +53,6 @@ JOINED = 3
 DEALT = 500
 #: Counters that order shingles by how common they are, by which runs are told apart; more tell more, and any order is exact.
 COUNTERS = 1 << 20
-#: Rare shingles that a run's row carries, by which a pair that has several in common is made for the least of them only; any number is exact.
-CARRIED = 8
 #: Functions whose signatures are noted: more make fewer keys, fewer less to shuffle.
 NOTED = 3
 #: Shingles of several texts handled at a time, about.
@@ -388,7 +386,7 @@ def rare_shingles(h: np.ndarray, rank: np.ndarray, least: int, similarity: float
 
 
 def _rare(runs: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
-    """``doc_id, first, last, rare, lesser``: for each run its rare shingles, each once, beside the first ``CARRIED`` that are less."""
+    """``doc_id, first, last, rare``: for each run its rare shingles, each once."""
     places = runs.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("places"))
     texts = _rows_of(texts, runs.select("doc_id")).dropDuplicates(["doc_id", "text"])
     work = materialise(texts.join(places, "doc_id").select("doc_id", "text", "places"), "runs", compression="zstd")
@@ -417,14 +415,11 @@ def _rare(runs: DataFrame, texts: DataFrame, least: int, similarity: float) -> D
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, a, b, part in each(batch):
-                found = np.sort(rare_shingles(part, known.value[(part & np.uint64(COUNTERS - 1)).astype(np.int64)], least, similarity).view(np.int64))
-                ends = np.r_[0, np.cumsum(np.minimum(np.arange(len(found)), CARRIED))]
-                lesser = pa.array(np.concatenate([found[:0], *(found[: min(k, CARRIED)] for k in range(len(found)))]))
+                found = rare_shingles(part, known.value[(part & np.uint64(COUNTERS - 1)).astype(np.int64)], least, similarity)
                 columns = [pa.array(np.full(len(found), x, t)) for x, t in ((i, np.int64), (a, np.int32), (b, np.int32))]
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), lesser)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found), lists], names=["doc_id", "first", "last", "rare", "lesser"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found.view(np.int64))], names=["doc_id", "first", "last", "rare"])
 
-    return work.mapInArrow(pick, "doc_id long, first int, last int, rare long, lesser array<long>").distinct()
+    return work.mapInArrow(pick, "doc_id long, first int, last int, rare long").distinct()
 
 
 def _across(rows: DataFrame, groups: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
@@ -439,7 +434,7 @@ def _across(rows: DataFrame, groups: DataFrame, texts: DataFrame, least: int, si
     apart = materialise(lookup_join(one, mixed, "key", "inner"), "one", compression="zstd")
     release(one)
     rare = _rare(apart.select("doc_id", "first", "last").distinct(), texts, least, similarity)
-    beside = apart.join(rare, ["doc_id", "first", "last"]).select(F.struct("key", "rare").alias("key"), "lesser", "class", "span", "doc_id", "first", "last")
+    beside = apart.join(rare, ["doc_id", "first", "last"]).select(F.struct("key", "rare").alias("key"), "class", "span", "doc_id", "first", "last")
     beside = materialise(beside, "rare", compression="zstd")
     release(apart)
     sizes = beside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("u"), F.max("class").alias("v")).filter("u <> v")
@@ -448,9 +443,8 @@ def _across(rows: DataFrame, groups: DataFrame, texts: DataFrame, least: int, si
     release(beside)
     left = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     right = dealt.withColumn("part", F.pmod(F.xxhash64("span"), F.col("parts")).cast("int")).drop("parts")
-    right = right.withColumnsRenamed({"doc_id": "other_id", **{x: f"other_{x}" for x in ("class", "first", "last", "span", "lesser")}})
-    # two runs meet at every rare shingle they have in common, the least of which is enough
-    met = left.join(right, ["key", "part"]).filter("class <> other_class AND doc_id > other_id AND NOT arrays_overlap(lesser, other_lesser)")
+    right = right.withColumnsRenamed({"doc_id": "other_id", **{x: f"other_{x}" for x in ("class", "first", "last", "span")}})
+    met = left.join(right, ["key", "part"]).filter("class <> other_class AND doc_id > other_id")
     out = materialise(_pairs(met), "across", compression="zstd")
     release(dealt)
     return out
