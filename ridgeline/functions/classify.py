@@ -43,6 +43,11 @@ def lift_seconds(kind: Column, length_m: Column) -> Column:
     return length_m / _lookup(kind, LIFT_SPEED) + BOARDING_S
 
 
+def human_transport(kind: Column) -> Column:
+    """Whether people ride the lift."""
+    return kind != "GoodsLift"
+
+
 def obstacle_kind(name: Column) -> Column:
     return F.coalesce(_lookup(name, OBSTACLES), F.lit("Other"))
 

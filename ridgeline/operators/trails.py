@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.geo import cell_of
+from ridgeline.functions.classify import human_transport, lift_seconds
+from ridgeline.functions.geo import cell_of, wgs84_to_lv95
 from ridgeline.functions.scoring import signpost_seconds
 from ridgeline.operators.components import connected_components
+from ridgeline.operators.skew import lookup_join
 from ridgeline.params import Grid
+from ridgeline.scratch import materialise
+
+#: Points of a lift looked at together; more are thinned to their hulls part by part.
+HULL_POINTS = 20_000
 
 
 def vertices_of(polylines: DataFrame) -> DataFrame:
@@ -70,3 +78,66 @@ def lift_clusters(ways: DataFrame) -> DataFrame:
     hub = ends.groupBy("node").agg(F.min("way").alias("least"))
     found = connected_components(ends.join(hub, "node").select("way", "least"))
     return ways.join(found, F.col("way") == F.col("node"), "left").select(ways["*"], F.coalesce("component", "way").alias("cluster"))
+
+
+def hull(points: pd.DataFrame) -> pd.DataFrame:
+    """The corners of the convex hull of ``e, n``; of points in one place the first by ``way, ordinal``."""
+    points = points.sort_values(["e", "n", "way", "ordinal"]).drop_duplicates(["e", "n"])
+    e, n = points["e"].to_numpy(), points["n"].to_numpy()
+
+    def chain(order: range) -> list[int]:
+        out: list[int] = []
+        for k in order:
+            while len(out) > 1 and (e[out[-1]] - e[out[-2]]) * (n[k] - n[out[-2]]) <= (n[out[-1]] - n[out[-2]]) * (e[k] - e[out[-2]]):
+                out.pop()
+            out.append(k)
+        return out
+
+    return points.iloc[sorted({*chain(range(len(e))), *chain(range(len(e) - 1, -1, -1))})]
+
+
+def farthest(points: pd.DataFrame) -> pd.DataFrame:
+    """The two points of a lift that lie farthest apart, in order of ``way, ordinal``; of equal pairs the first."""
+    points = hull(points).sort_values(["way", "ordinal"], ignore_index=True)
+    e, n = points["e"].to_numpy(), points["n"].to_numpy()
+    best = (0, 0, 0.0)
+    for i in range(len(e) - 1):
+        d = np.sqrt((e[i + 1 :] - e[i]) ** 2 + (n[i + 1 :] - n[i]) ** 2)
+        if d.max() > best[2]:
+            best = (i, i + 1 + int(d.argmax()), float(d.max()))
+    a, b = (points.loc[k, ["lat", "lon", "e", "n"]].to_dict() for k in best[:2])
+    return pd.DataFrame({"cluster": points["cluster"][:1], "lower": [a], "upper": [b]})
+
+
+def assemble_lifts(ways: DataFrame, nodes: DataFrame, min_length_m: float = 100.0) -> DataFrame:
+    """``cluster, name, kind, human, lower, upper, length_m, travel_seconds`` from ``ways(way, kind, name, nodes)`` and ``nodes(node, lat, lon)``.
+
+    Ways of no kind or with fewer than two nodes are left out; those that share an end node are one lift, of the most
+    frequent kind (ties: by name), called by its first way's name that there is, else by its kind.  Nodes without a
+    place are skipped, with the steps to and from them.  The ends are the two places farthest apart, not ordered by
+    height.  Lifts with fewer than two placed nodes or shorter than ``min_length_m`` are left out.  Only hulls of parts of a lift's points
+    meet in one task.
+    """
+    end = "struct<lat:double,lon:double,e:double,n:double>"
+    ways = materialise(lift_clusters(ways.filter("kind IS NOT NULL AND size(nodes) >= 2")).select("cluster", "way", "kind", "name", "nodes"), "ways")
+    e, n = wgs84_to_lv95(F.col("lon"), F.col("lat"))
+    places = nodes.filter("lat IS NOT NULL AND lon IS NOT NULL").dropDuplicates(["node"]).select("node", F.struct("lat", "lon", e.alias("e"), n.alias("n")).alias("p"))
+    kinds = ways.groupBy("cluster", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.min(F.struct(-F.col("n"), "kind"))["kind"].alias("kind"))
+    names = ways.groupBy("cluster").agg(F.min_by("name", F.when(F.col("name").isNotNull(), F.col("way"))).alias("name"))
+
+    steps = ways.select("cluster", "way", F.posexplode("nodes").alias("ordinal", "node"))
+    placed = materialise(lookup_join(materialise(steps, "steps"), places, "node", "left"), "placed")
+    w = Window.partitionBy("cluster", "way").orderBy("ordinal")
+    step = F.sqrt((F.lead("p.e").over(w) - F.col("p.e")) ** 2 + (F.lead("p.n").over(w) - F.col("p.n")) ** 2)
+    lengths = placed.select("cluster", step.alias("step")).groupBy("cluster").agg(F.sum("step").alias("length_m"))
+
+    points = placed.filter("p IS NOT NULL").groupBy("cluster", "node").agg(F.min(F.struct("way", "ordinal")).alias("at"), F.first("p").alias("p"))
+    points = materialise(points.select("cluster", "node", "at.way", "at.ordinal", "p.*"), "points")
+    sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("points"))
+    salted = lookup_join(points, sizes, "cluster", "inner").filter("points >= 2")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("points") / HULL_POINTS)).cast("int")
+    corners = salted.withColumn("part", part).drop("points", "node")
+    corners = corners.groupBy("cluster", "part").applyInPandas(hull, corners.schema)
+    ends = corners.groupBy("cluster").applyInPandas(farthest, f"cluster {dict(ways.dtypes)['cluster']}, lower {end}, upper {end}")
+    out = ends.join(lengths.filter(F.col("length_m") >= min_length_m), "cluster").join(kinds, "cluster").join(names, "cluster")
+    return out.select("cluster", F.coalesce("name", "kind").alias("name"), "kind", human_transport(F.col("kind")).alias("human"), "lower", "upper", "length_m", lift_seconds(F.col("kind"), F.col("length_m")).alias("travel_seconds"))

@@ -217,6 +217,40 @@ def lift_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trails.lift_clusters(ways).groupBy("cluster").agg(F.count(F.lit(1)).alias("ways"), F.sum("n_nodes").alias("n_nodes"))
 
 
+LIFT_WAYS = """w AS (SELECT o_orderkey AS way, CASE left(o_orderpriority, 1) WHEN '1' THEN 'CableCar' WHEN '2' THEN 'Gondola' WHEN '3' THEN 'ChairLift' WHEN '4' THEN 'GoodsLift' END AS kind,
+CASE WHEN o_orderkey % 3 = 0 THEN 'line ' || o_custkey END AS name, o_orderkey AS a, o_orderkey + 1000000000 AS b, CASE WHEN o_orderkey % 4 = 3 THEN o_orderkey + 2000000000 ELSE o_orderkey + 1 END AS c FROM orders)"""
+LIFT_PLACE = "465e-1 + (node % 1000) * 4e-4 + (node % 7) * 1e-4 AS lat, 7e0 + (node % 777) * 5e-4 AS lon"
+
+
+@query(f"""WITH {LIFT_WAYS}, k AS (SELECT * FROM w WHERE kind IS NOT NULL),
+g AS (SELECT *, CASE WHEN way % 4 = 0 OR coalesce(lag(way) OVER (ORDER BY way), -9) <> way - 1 THEN way END AS f FROM k),
+h AS (SELECT *, max(f) OVER (ORDER BY way) AS cluster FROM g),
+s AS (SELECT cluster, way, 0 AS o, a AS node FROM h UNION ALL SELECT cluster, way, 1, b FROM h UNION ALL SELECT cluster, way, 2, c FROM h),
+l AS (SELECT *, {LIFT_PLACE} FROM s WHERE node % 11 <> 5),
+m AS (SELECT *, (lat * 3600 - 169028.66) / 1e4 AS p, (lon * 3600 - 26782.5) / 1e4 AS q FROM l),
+x AS (SELECT cluster, way, o, node, lat, lon, 2600072.37 + 211455.93 * q - 10938.51 * q * p - 0.36 * q * p * p - 44.54 * q * q * q AS e,
+1200147.07 + 308807.95 * p + 3745.25 * q * q + 76.63 * p * p - 194.56 * q * q * p + 119.79 * p * p * p AS n FROM m),
+z AS (SELECT u.cluster, sum(sqrt((v.e - u.e) ** 2 + (v.n - u.n) ** 2)) AS length_m FROM x u JOIN x v ON u.way = v.way AND v.o = u.o + 1 GROUP BY u.cluster),
+pt AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY cluster, node ORDER BY way, o) = 1),
+far AS (SELECT i.cluster, i.lat AS lower_lat, i.lon AS lower_lon, j.lat AS upper_lat, j.lon AS upper_lon FROM pt i JOIN pt j ON i.cluster = j.cluster AND (i.way, i.o) < (j.way, j.o)
+QUALIFY row_number() OVER (PARTITION BY i.cluster ORDER BY sqrt((i.e - j.e) ** 2 + (i.n - j.n) ** 2) DESC, i.way, i.o, j.way, j.o) = 1),
+kd AS (SELECT cluster, kind FROM h GROUP BY cluster, kind QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, kind) = 1),
+nm AS (SELECT cluster, min_by(name, way) FILTER (WHERE name IS NOT NULL) AS name FROM h GROUP BY cluster)
+SELECT cluster, coalesce(name, kind) AS name, kind, kind <> 'GoodsLift' AS human, round(lower_lat, 6) AS lower_lat, round(lower_lon, 6) AS lower_lon, round(upper_lat, 6) AS upper_lat, round(upper_lon, 6) AS upper_lon,
+round(length_m, 6) AS length_m, round(length_m / CASE kind WHEN 'CableCar' THEN 8.0 WHEN 'Gondola' THEN 5.0 WHEN 'ChairLift' THEN 2.5 ELSE 1.0 END + 180, 6) AS travel_seconds
+FROM far JOIN z USING (cluster) JOIN kd USING (cluster) JOIN nm USING (cluster) WHERE length_m >= 100""")
+def lift_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, first = F.col("o_orderkey"), F.left("o_orderpriority", F.lit(1))
+    kind = F.when(first == "1", "CableCar").when(first == "2", "Gondola").when(first == "3", "ChairLift").when(first == "4", "GoodsLift")
+    last = F.when(key % 4 == 3, key + 2_000_000_000).otherwise(key + 1)
+    name = F.when(key % 3 == 0, F.concat(F.lit("line "), F.col("o_custkey").cast("string")))
+    ways = table(spark, sf_dir, "orders").select(key.alias("way"), kind.alias("kind"), name.alias("name"), F.array(key, key + 1_000_000_000, last).alias("nodes"))
+    nodes = ways.select(F.explode("nodes").alias("node")).distinct().filter("node % 11 <> 5").selectExpr("node", *LIFT_PLACE.split(", "))
+    out = trails.assemble_lifts(ways, nodes)
+    ends = [F.round(f"{a}.{b}", 6).alias(f"{a}_{b}") for a in ("lower", "upper") for b in ("lat", "lon")]
+    return r6(out, "length_m", "travel_seconds").select("cluster", "name", "kind", "human", *ends, "length_m", "travel_seconds")
+
+
 @query()
 def hike_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderkey % 100 = 50").select(F.expr("cast(o_orderkey div 100 as int)").alias("row"), (F.col("o_orderkey") % 100).cast("int").alias("col"), F.lit(0.0).alias("seconds"))

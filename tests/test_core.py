@@ -5,6 +5,7 @@ import math
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,28 @@ def test_components(spark):
     assert {r["way"]: r["cluster"] for r in trails.lift_clusters(ways).collect()} == {1: 1, 2: 1, 5: 5, 7: 1}
 
 
+def test_lift_assembly(spark):
+    rows = [(1, "Gondola", None, [1, 2]), (2, "ChairLift", "B", [2, 3]), (3, None, "x", [5, 6]), (4, "CableCar", None, [7]), (6, "CableCar", None, [8, 9]), (9, "CableCar", "y", [1, 77])]
+    ways = spark.createDataFrame(rows, "way long, kind string, name string, nodes array<long>")
+    nodes = spark.createDataFrame([(1, 46.0, 7.0), (2, 46.01, 7.0), (3, 46.02, 7.0), (8, 46.0, 7.1), (9, 46.00001, 7.1), (77, None, 7.0)], "node long, lat double, lon double")
+    (row,) = trails.assemble_lifts(ways, nodes).collect()
+    assert (row["cluster"], row["kind"], row["name"], row["human"], row["lower"]["lat"], row["upper"]["lat"]) == (1, "CableCar", "B", True, 46.0, 46.02)
+    assert 2200 < row["length_m"] < 2250 and math.isclose(row["travel_seconds"], row["length_m"] / 8 + 180)
+    assert trails.assemble_lifts(ways, nodes.filter("node <> 2")).count() == 0
+    assert trails.assemble_lifts(ways.limit(0), nodes).count() == 0
+
+
+def test_farthest():
+    rng = np.random.default_rng(1)
+    for n in (2, 3, 30):
+        for high in (3, 1000):
+            p = pd.DataFrame({"cluster": 1, "way": range(n), "ordinal": 0, "lat": 0.0, "lon": range(n), "e": rng.integers(0, high, n) * 1.0, "n": rng.integers(0, high, n) * 1.0})
+            pairs = [(-math.hypot(p.e[i] - p.e[j], p.n[i] - p.n[j]), i, j) for i in range(n) for j in range(i + 1, n)]
+            d, i, j = min(pairs)
+            got = trails.farthest(p).iloc[0]
+            assert (got["lower"]["lon"], got["upper"]["lon"]) == ((i, j) if d else (0, 0))
+
+
 def test_classes(spark):
     none = F.lit(None).cast("string")
     kinds = [classify.lift_kind(F.lit(a) if a else none, F.lit(r) if r else none, F.lit(k) if k else none) for a, r, k in (("drag_lift", "funicular", None), (None, "rail", "yes"), (None, "rail", None), ("zip_line", None, None))]
