@@ -49,7 +49,7 @@ MAP_BITS = 1 << 28
 ID_BITS = 1 << 25
 #: Places of a pair are compared together within so many times the shingles of a passage.
 JOINED = 3
-#: Runs of a key that are joined with the key's others at a time.
+#: Runs outside a key's largest class that meet all its runs at a time.
 DEALT = 500
 #: Counters that order shingles by how common they are, by which runs are told apart; more tell more, and any order is exact.
 COUNTERS = 1 << 20
@@ -422,6 +422,27 @@ def _rare(runs: DataFrame, texts: DataFrame, least: int, similarity: float) -> D
     return work.mapInArrow(pick, "doc_id long, first int, last int, rare long").distinct()
 
 
+def _sizes(rows: DataFrame) -> DataFrame:
+    """``key, n, largest, others``: of keys in several classes how many rows they have, their largest class and the rows outside it."""
+    found = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most"))
+    return found.filter("n > most.n").select("key", "n", F.col("most.class").alias("largest"), (F.col("n") - F.col("most.n")).alias("others"))
+
+
+def _met(rows: DataFrame, sizes: DataFrame, condition: str = "true") -> DataFrame:
+    """Rows of a key beside its rows of other classes, each pair once, the greater identifier first.
+
+    The rows outside the key's largest class meet all, so a large class is never beside itself; many of them are dealt to many tasks.
+    """
+    columns = {x: f"other_{x.removeprefix('doc_')}" for x in rows.columns if x != "key"}
+    dealt = lookup_join(rows, sizes.select("key", "largest", F.ceil(F.col("others") / DEALT).cast("int").alias("parts")), "key", "inner")
+    left = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = dealt.filter("class <> largest").withColumn("part", F.pmod(F.xxhash64("span"), F.col("parts")).cast("int")).drop("parts", "largest")
+    met = left.join(right.withColumnsRenamed(columns), ["key", "part"]).filter(f"class <> other_class AND (class = largest OR doc_id > other_id) AND {condition}")
+    swap = F.col("doc_id") < F.col("other_id")
+    both = [(x, columns[x]) for x in ("doc_id", "first", "last", "span")]
+    return met.select(*(F.when(swap, y).otherwise(F.col(x)).alias(x) for x, y in ((x, F.col(y)) for x, y in both)), *(F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in both))
+
+
 def _across(rows: DataFrame, groups: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
     """Pairs whose runs have a key in common, differ and are in different classes; written.
 
@@ -437,16 +458,20 @@ def _across(rows: DataFrame, groups: DataFrame, texts: DataFrame, least: int, si
     beside = apart.join(rare, ["doc_id", "first", "last"]).select(F.struct("key", "rare").alias("key"), "class", "span", "doc_id", "first", "last")
     beside = materialise(beside, "rare", compression="zstd")
     release(apart)
-    sizes = beside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("u"), F.max("class").alias("v")).filter("u <> v")
-    # a large key is dealt to many tasks: each has a share of its runs beside all of them
-    dealt = materialise(lookup_join(beside, sizes.select("key", F.ceil(F.col("n") / DEALT).cast("int").alias("parts")), "key", "inner"), "dealt", compression="zstd")
+    sizes = materialise(_sizes(beside), "sizes")
+    shared = materialise(lookup_join(beside, sizes.select("key"), "key", "inner"), "shared", compression="zstd")
     release(beside)
-    left = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    right = dealt.withColumn("part", F.pmod(F.xxhash64("span"), F.col("parts")).cast("int")).drop("parts")
-    right = right.withColumnsRenamed({"doc_id": "other_id", **{x: f"other_{x}" for x in ("class", "first", "last", "span")}})
-    met = left.join(right, ["key", "part"]).filter("class <> other_class AND doc_id > other_id")
+    # the runs of a key meet once, or once for each rare shingle where that compares fewer
+    runs = shared.groupBy(F.col("key.key").alias("key"), "class", "span", "doc_id", "first", "last").agg(F.collect_list("key.rare").alias("rares"))
+    runs = materialise(runs, "whole", compression="zstd")
+    cost = sizes.groupBy("key.key").agg(F.sum(F.col("n") * F.col("others")).alias("cost"))
+    keys = materialise(_sizes(runs).join(cost, "key").withColumn("whole", F.expr("n * others <= cost")), "sizes")
+    rest = lookup_join(shared.withColumn("one", F.col("key.key")), keys.select(F.col("key").alias("one"), "whole"), "one", "inner")
+    rest = materialise(rest.filter("NOT whole").drop("one", "whole"), "rest", compression="zstd")
+    release(shared)
+    met = _met(runs, keys.filter("whole"), "arrays_overlap(rares, other_rares)").unionByName(_met(rest, sizes))
     out = materialise(_pairs(met), "across", compression="zstd")
-    release(dealt)
+    release(runs, rest, keys, sizes)
     return out
 
 
