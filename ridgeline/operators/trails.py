@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,10 @@ from ridgeline.scratch import materialise
 
 #: Points of a lift looked at together; more are thinned to their hulls part by part.
 HULL_POINTS = 20_000
+#: Points of a lift all of whose pairs are compared, those of many lifts at a time; larger lifts are thinned to their hulls first.
+PAIRED = 200
+#: Pairs of points compared at a time, about.
+PAIRS = 1_000_000
 
 
 def vertices_of(polylines: DataFrame) -> DataFrame:
@@ -109,14 +116,42 @@ def farthest(points: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cluster": points["cluster"][:1], "lower": [a], "upper": [b]})
 
 
+def farthest_pairs(sizes: np.ndarray, e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two points of each lift that lie farthest apart, of equal pairs the first; lifts have ``sizes`` points, 1 at least, one lift after another."""
+    base = np.cumsum(sizes) - sizes
+    lower, upper = base.copy(), base.copy()
+    for size in np.unique(sizes[sizes > 1]):
+        i, j = np.triu_indices(size, 1)
+        lifts = np.flatnonzero(sizes == size)
+        for some in np.array_split(lifts, -(-len(lifts) * len(i) // PAIRS)):
+            at = base[some][:, None]
+            d = np.nan_to_num(np.sqrt((e[at + j] - e[at + i]) ** 2 + (n[at + j] - n[at + i]) ** 2))
+            best = d.argmax(axis=1)
+            apart = d[np.arange(len(some)), best] > 0
+            lower[some] += np.where(apart, i[best], 0)
+            upper[some] += np.where(apart, j[best], 0)
+    return lower, upper
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``cluster, lower, upper`` from ``cluster, points``."""
+    for batch in batches:
+        lists = batch.column(1)
+        points = lists.flatten()
+        places = [points.field(name) for name in ("lat", "lon", "e", "n")]
+        found = farthest_pairs(np.diff(lists.offsets.to_numpy()), *(x.to_numpy() for x in places[2:]))
+        ends = [pa.StructArray.from_arrays([x.take(pa.array(at)) for x in places], names=["lat", "lon", "e", "n"]) for at in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *ends], names=["cluster", "lower", "upper"])
+
+
 def assemble_lifts(ways: DataFrame, nodes: DataFrame, min_length_m: float = 100.0) -> DataFrame:
     """``cluster, name, kind, human, lower, upper, length_m, travel_seconds`` from ``ways(way, kind, name, nodes)`` and ``nodes(node, lat, lon)``.
 
     Ways of no kind or with fewer than two nodes are left out; those that share an end node are one lift, of the most
     frequent kind (ties: by name), called by its first way's name that there is, else by its kind.  Nodes without a
     place are skipped, with the steps to and from them.  The ends are the two places farthest apart, not ordered by
-    height.  Lifts with fewer than two placed nodes or shorter than ``min_length_m`` are left out.  Only hulls of parts of a lift's points
-    meet in one task.
+    height.  Lifts with fewer than two placed nodes or shorter than ``min_length_m`` are left out.  Of lifts of more than
+    ``PAIRED`` points only hulls of parts of them meet in one task.
     """
     end = "struct<lat:double,lon:double,e:double,n:double>"
     ways = materialise(lift_clusters(ways.filter("kind IS NOT NULL AND size(nodes) >= 2")).select("cluster", "way", "kind", "name", "nodes"), "ways")
@@ -133,11 +168,15 @@ def assemble_lifts(ways: DataFrame, nodes: DataFrame, min_length_m: float = 100.
 
     points = placed.filter("p IS NOT NULL").groupBy("cluster", "node").agg(F.min(F.struct("way", "ordinal")).alias("at"), F.first("p").alias("p"))
     points = materialise(points.select("cluster", "node", "at.way", "at.ordinal", "p.*"), "points")
-    sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("points"))
-    salted = lookup_join(points, sizes, "cluster", "inner").filter("points >= 2")
+    large = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("points")).filter(F.col("points") > PAIRED)
+    sized = lookup_join(points, materialise(large, "large"), "cluster", "left")
+    listed = sized.filter("points IS NULL").groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("way", "ordinal", "lat", "lon", "e", "n"))).alias("points"))
+    schema = f"cluster {dict(ways.dtypes)['cluster']}, lower {end}, upper {end}"
+    small = listed.filter("size(points) >= 2").mapInArrow(_ends, schema)
+    salted = sized.filter("points IS NOT NULL")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("points") / HULL_POINTS)).cast("int")
     corners = salted.withColumn("part", part).drop("points", "node")
     corners = corners.groupBy("cluster", "part").applyInPandas(hull, corners.schema)
-    ends = corners.groupBy("cluster").applyInPandas(farthest, f"cluster {dict(ways.dtypes)['cluster']}, lower {end}, upper {end}")
+    ends = small.unionByName(corners.groupBy("cluster").applyInPandas(farthest, schema))
     out = ends.join(lengths.filter(F.col("length_m") >= min_length_m), "cluster").join(kinds, "cluster").join(names, "cluster")
     return out.select("cluster", F.coalesce("name", "kind").alias("name"), "kind", human_transport(F.col("kind")).alias("human"), "lower", "upper", "length_m", lift_seconds(F.col("kind"), F.col("length_m")).alias("travel_seconds"))

@@ -184,6 +184,30 @@ def test_farthest():
             assert (got["lower"]["lon"], got["upper"]["lon"]) == ((i, j) if d else (0, 0))
 
 
+def test_many_small_lifts(spark, monkeypatch):
+    """Small lifts are compared many at a time, without a call of ``farthest`` for each; large ones by their hulls, to the same ends."""
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 2, 2, 3, 1, 5, 3, 40])
+    e, n = (rng.integers(0, 4, sizes.sum()) * 1.0 for _ in range(2))
+    e[1:3] = n[1:3] = 1.0  # one place
+    base = np.cumsum(sizes) - sizes
+    for lower, upper, at, size in zip(*trails.farthest_pairs(sizes, e, n), base, sizes):
+        pairs = [(-math.hypot(e[i] - e[j], n[i] - n[j]), i, j) for i in range(at, at + size) for j in range(i + 1, at + size)]
+        d, i, j = min(pairs, default=(0, at, at))
+        assert (lower, upper) == ((i, j) if d else (at, at))
+
+    rows = [(k, "Gondola", None, list(range(9 * k, 9 * k + 2 + k % 7))) for k in range(20)]
+    ways = spark.createDataFrame(rows, "way long, kind string, name string, nodes array<long>")
+    nodes = spark.range(600).select(F.col("id").alias("node"), (46 + F.col("id") * 7 % 101 * 1e-4).alias("lat"), (7 + F.col("id") * 3 % 89 * 1e-4).alias("lon"))
+    monkeypatch.setattr(trails, "PAIRED", 1)
+    want = sorted(map(str, trails.assemble_lifts(ways, nodes).collect()))
+    monkeypatch.setattr(trails, "PAIRED", 4)
+    assert sorted(map(str, trails.assemble_lifts(ways, nodes).collect())) == want
+    monkeypatch.undo()
+    found = trails.assemble_lifts(ways, nodes)
+    assert sorted(map(str, found.collect())) == want and len(want) > 12
+
+
 def test_classes(spark):
     none = F.lit(None).cast("string")
     kinds = [classify.lift_kind(F.lit(a) if a else none, F.lit(r) if r else none, F.lit(k) if k else none) for a, r, k in (("drag_lift", "funicular", None), (None, "rail", "yes"), (None, "rail", None), ("zip_line", None, None))]
