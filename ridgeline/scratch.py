@@ -62,7 +62,12 @@ def release(*tables: DataFrame) -> None:
             with contextlib.suppress(ValueError):
                 _MADE.remove((df.sparkSession, path))
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        collect_garbage(tables[0].sparkSession)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Ask the driver's JVM for it, upon which Spark deletes the shuffle files of ended jobs."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
