@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.bitmaps import bitmap, bitmap_bits, noted
 from ridgeline.operators.skew import lookup_join
-from ridgeline.scratch import materialise
+from ridgeline.scratch import collect_garbage, materialise, release
 
 LENGTH = 200
 KGRAM = 48
@@ -314,7 +314,7 @@ def _candidates(texts: DataFrame, keys: DataFrame, length: int, kgram: int) -> D
 
 
 def _sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
-    """``key, one, two, spans`` of the different pieces ``key, one, two, piece`` of keys with a bounded number of them."""
+    """``key, one, two, spans`` of the different pieces ``key, one, two, piece`` of keys with several, but a bounded number of them."""
 
     def sort(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         spans = [_runs(x, length) for x in repeated_windows([r[3] for r in rows], length)]
@@ -325,11 +325,19 @@ def _sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, bytes]] = []
         size = 0
+        first = None  # a key's first piece waits for another
         for batch in batches:
             for row in zip(*(x.to_pylist() for x in batch.columns)):
-                if size >= SORTED and row[0] != rows[-1][0]:
-                    yield sort(rows)
-                    rows, size = [], 0
+                if first and first[0] == row[0]:
+                    rows.append(first)
+                    size += len(first[3]) - length + 1
+                    first = None
+                if not rows or rows[-1][0] != row[0]:
+                    if size >= SORTED:
+                        yield sort(rows)
+                        rows, size = [], 0
+                    first = row
+                    continue
                 rows.append(row)
                 size += len(row[3]) - length + 1
         if rows:
@@ -362,30 +370,32 @@ def _divided(pieces: DataFrame, length: int, width: int) -> DataFrame:
     return pieces.select("key", "one", "two", "anchor", "piece").mapInArrow(run, schema)
 
 
-def _kinds(pieces: DataFrame, counts: DataFrame) -> DataFrame:
-    """Different pieces, by their bytes, and how often each occurs."""
+def _kinds(pieces: DataFrame) -> DataFrame:
+    """Different pieces, by their bytes."""
     kinds = materialise(pieces.groupBy("key", "one", "two", "piece").agg(F.max("anchor").alias("anchor")), "kinds", compression="zstd")
     if kinds.count() != kinds.select("key", "one", "two").distinct().count():
         raise ArithmeticError("two pieces have one name of 128 bits")
-    return materialise(kinds.join(counts, ["key", "one", "two"]), "kinds", compression="zstd")
+    return kinds
 
 
-def _covered(kinds: DataFrame, length: int, hot: int, widths: tuple[int, ...]) -> DataFrame:
-    """``kind, start, end``: what is covered of the different pieces ``key, one, two, piece, anchor, times``."""
+def _covered(kinds: DataFrame, counts: DataFrame, length: int, hot: int, widths: tuple[int, ...]) -> DataFrame:
+    """``kind, start, end``: what is covered of the different pieces ``key, one, two, piece, anchor`` that occur so many ``times``."""
     kind = F.struct("key", "one", "two").alias("kind")
-    out = kinds.filter("times > 1").select(kind, F.lit(0).alias("start"), F.octet_length("piece").alias("end"))
+    ends = kinds.select("key", "one", "two", F.octet_length("piece").alias("end"))
+    out = ends.join(counts.filter("times > 1"), ["key", "one", "two"]).select(kind, F.lit(0).alias("start"), "end")
     if not widths:  # single windows
         return out
-    keys = materialise(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "keys")
-    few = kinds.join(keys.filter(F.col("n") <= hot).select("key"), "key", "left_semi")
+    many = materialise(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key"), "keys")
+    none = many.isEmpty()
+    # fewer keys than one in ``hot`` pieces
+    few = kinds if none else kinds.join(F.broadcast(many), "key", "left_anti")
     found = _sorted_spans(few, length).select(kind, F.explode("spans").alias("span"))
     out = out.unionByName(found.select("kind", "span.start", "span.end"))
-    many = keys.filter(F.col("n") > hot).select("key")
-    if many.isEmpty():
+    if none:
         return out
     runs = materialise(_divided(lookup_join(kinds, many, "key", "inner"), length, widths[0]), "runs", compression="zstd")
     counts = runs.groupBy("key", "one", "two").agg(F.count(F.lit(1)).alias("times"))
-    inner = _covered(_kinds(runs, counts), length, hot, widths[1:]).groupBy("kind").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    inner = _covered(_kinds(runs), counts, length, hot, widths[1:]).groupBy("kind").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     back = lookup_join(runs.select("of", "at", kind), materialise(inner, "spans"), "kind", "inner").select(F.col("of").alias("kind"), "at", F.explode("spans").alias("span"))
     return out.unionByName(back.select("kind", (F.col("at") + F.col("span.start")).alias("start"), (F.col("at") + F.col("span.end")).alias("end")))
 
@@ -416,14 +426,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, ho
     keys = materialise(_keys(texts, length, kgram), "keys")
     candidates = materialise(_candidates(texts.select("digest", "text"), keys, length, kgram), "candidates", compression="zstd")
     counts = candidates.groupBy("key", "one", "two").agg(F.count(F.lit(1)).alias("times"))
-    kinds = _kinds(candidates.filter("piece IS NOT NULL"), counts)
-    covered = _covered(kinds, length, hot, (min(RUN, length // 4), 1)).groupBy("kind").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    collect_garbage(docs.sparkSession)
+    kinds = _kinds(candidates.filter("piece IS NOT NULL"))
+    collect_garbage(docs.sparkSession)
+    covered = _covered(kinds, counts, length, hot, (min(RUN, length // 4), 1)).groupBy("kind").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     covered = materialise(covered, "covered")
+    release(kinds)
     places = candidates.select("digest", "first", F.struct("key", "one", "two").alias("kind"))
     hit = lookup_join(places, covered, "kind", "inner").select("digest", "first", F.explode("spans").alias("span"))
     copied = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("end")).filter("n > 1")
     spans = hit.select("digest", (F.col("first") + F.col("span.start")).alias("start"), (F.col("first") + F.col("span.end")).alias("end"))
     spans = materialise(_merged(spans.unionByName(copied.select("digest", F.lit(0).alias("start"), "end"))), "spans")
+    release(candidates, covered)
     out = lookup_join(rows, spans, "digest", "left")
     return out.select("doc_id", "text", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 

@@ -90,3 +90,15 @@ def test_long_texts_come_in_parts(monkeypatch):
 
 def test_empty(spark):
     assert s.digest(s.repeated_spans(rows_of(spark, []))).count() == 0
+
+
+def test_keys_with_one_piece_are_not_sorted(spark):
+    import random
+
+    from ridgeline.llm import suffix_dedup
+
+    draw = random.Random(4)
+    a, b, c = (bytes(draw.choices(range(97, 123), k=40)) for _ in range(3))
+    rows = [(1, 1, 1, bytearray(a * 3)), (2, 1, 2, bytearray(a + b)), (2, 1, 3, bytearray(c + b)), (3, 1, 4, bytearray(c)), (4, 1, 5, bytearray(b + a)), (4, 1, 6, bytearray(a + c))]
+    pieces = spark.createDataFrame(rows, "key long, one long, two long, piece binary")
+    assert {r["two"] for r in suffix_dedup._sorted_spans(pieces, 20).collect()} == {2, 3, 5, 6}
