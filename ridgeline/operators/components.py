@@ -2,12 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators.skew import lookup_join
 from ridgeline.scratch import materialise, release
 
+#: Edges that one task holds (48 MB of them and their nodes).
+ONE_TASK = 2_000_000
+
+
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a graph in order, and of each the least node reachable."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    parent = np.arange(len(nodes))
+    a, b = at[: len(u)], at[len(u) :]
+    while True:
+        a, b = parent[a], parent[b]
+        apart = a != b
+        if not apart.any():
+            return nodes, nodes[parent]
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (above := parent[parent]).tobytes() != parent.tobytes():
+            parent = above
+
+
+def integer_components(edges: DataFrame) -> DataFrame:
+    """``connected_components`` of edges between long identifiers; a graph of up to ``ONE_TASK`` edges is a single task's, so no rounds are needed.
+
+    ``edges`` should be a written table: it is read more than once.
+    """
+    a, b = edges.columns[:2]
+    edges = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
+    if edges.count() > ONE_TASK:
+        return connected_components(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]:
+            nodes, least = least_reachable(*(np.concatenate(x) for x in zip(*found)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+
 
 def _star(edges: DataFrame, rows: int) -> DataFrame:
     """Each node's larger neighbours and the node itself are tied to the least of its neighbours and itself."""
