@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm.workers import cache, parts, tidy
 from ridgeline.scratch import materialise
 
 SEGMENT = 96
@@ -43,6 +44,8 @@ THRESHOLD = 0.6
 SHINGLE = 5
 OVERLAP = 0.8
 BLOCK_BYTES = 16 << 20
+#: Bytes of text that go back to Spark together.
+TOGETHER = 1 << 20
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
@@ -203,7 +206,7 @@ class Index:
 
 
 #: Indexes that this worker has built, by block; the last few are kept.
-_BUILT: dict[str, Index] = {}
+_BUILT: dict[str, Index] = cache("indexes")
 
 
 @dataclass
@@ -272,7 +275,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(tidy(run, "indexes"), schema))
     return out
 
 
@@ -285,7 +288,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             index = sent.value.index()
             for batch in batches:
-                yield batch.filter(pa.array([not (t.is_valid and index.matches(t.as_py())) for t in batch.column(at)], pa.bool_()))
+                for part in parts(batch, at, TOGETHER):
+                    yield part.filter(pa.array([not (t.is_valid and index.matches(t.as_py())) for t in part.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run, "indexes"), docs.schema)
     return docs

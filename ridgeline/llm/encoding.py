@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ridgeline.llm.workers import cache
+
 #: Pieces that a worker keeps.  A full table keeps those met again since they were learned; the ids don't depend on it.
 PIECES = 1 << 20
 #: Bytes of text cut at a time; a longer text is divided where a space stands between two letters.
@@ -33,7 +35,7 @@ _ALPHABET_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _CUT = re.compile(rb"[A-Za-z](?= [A-Za-z])")
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[str, PieceEncoder] = cache("encoders")
 
 
 def _classes() -> np.ndarray:

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ridgeline.llm.encoding import encoder
+from ridgeline.llm.workers import tidy
 
 #: doc_id, ids before the piece in its document, the piece's ids, all ids of the document.
 Piece = tuple[int | None, int, bytes, int]
@@ -165,4 +166,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int = 102
         yield from _batches(pack(documents(), size), TaskContext.get().partitionId(), digest)
 
     schema = PIECE_SCHEMA.replace("ids array<int>", "ids_crc32 long") if digest else PIECE_SCHEMA
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, "encoders"), schema)

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm.workers import tidy
 from ridgeline.operators.components import connected_components
 from ridgeline.operators.skew import lookup_join
 from ridgeline.scratch import materialise
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             bits = np.fromiter((fingerprint(x.as_py() or "", width) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=["doc_id", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bits long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, bits long")
 
 
 @dataclass(frozen=True)
@@ -180,8 +181,8 @@ def links(distinct: DataFrame, threshold: int, count: int) -> DataFrame:
             a, b = compare(*kept, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    dealt = distinct.select("bits").repartition(max(1, count // 16_384)).mapInArrow(spread, "cell long, bits long, near boolean").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    dealt = distinct.select("bits").repartition(max(1, count // 16_384)).mapInArrow(tidy(spread), "cell long, bits long, near boolean").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(tidy(meet), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 4, width: int = 4) -> DataFrame:

@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.bitmaps import bitmap, bitmap_bits, noted
+from ridgeline.llm.workers import cache
 from ridgeline.operators.skew import lookup_join
 from ridgeline.scratch import collect_garbage, materialise, release
 
@@ -60,9 +60,15 @@ _MASK = (1 << 64) - 1
 SPANS = "array<struct<start:int,end:int>>"
 
 
-@cache
+#: Of each base the most powers that this worker has needed for texts up to a bound.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = cache("powers")
+_KEPT_POWERS = 1 << 22
+
+
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse; ``size`` is a power of two."""
+    """Powers of a base and of its inverse, ``size`` at least, which is a power of two."""
+    if base in _POWERS and len(_POWERS[base][0]) >= size:
+        return _POWERS[base]
     inverse = pow(base, -1, 1 << 64)
     out = []
     for b in (base, inverse):
@@ -70,6 +76,8 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         while len(p) < size:
             p = np.concatenate([p, p * np.uint64(pow(b, len(p), 1 << 64))])
         out.append(p)
+    if size <= _KEPT_POWERS:
+        _POWERS[base] = (out[0], out[1])
     return out[0], out[1]
 
 

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.encoding import byte_kinds, is_letter
 from ridgeline.llm.suffix_dedup import Hashes
+from ridgeline.llm.workers import parts, tidy
 from ridgeline.scratch import materialise
 
 #: Labelled rows to learn from, at most.
@@ -52,9 +53,10 @@ CURVE = 5
 #: Bins of the window score for the logistic curve.
 BINS = 2000
 BIN_WIDTH = 0.002
-#: Bytes of text looked at together, and words whose counts a task holds before it sends them.
+#: Bytes of text looked at together, words whose counts a task holds before it sends them, and rows sent together.
 TOGETHER = 1 << 20
 HELD = 1 << 20
+SENT = 1 << 16
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -66,28 +68,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def words_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(words, ends)`` for some texts at a time: hashes of the words in order, and where each text's end."""
-    lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    if not len(lower):
-        return
-    offsets = np.frombuffer(lower.buffers()[1], np.int64, len(lower) + 1, 8 * lower.offset)
-    at = 0
-    while at < len(lower):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + TOGETHER, "right")) - 1)
-        a, n = int(offsets[at]), int(offsets[to] - offsets[at])
+    for part in parts(pa.RecordBatch.from_arrays([texts.cast(pa.large_string())], names=["text"]), 0, TOGETHER):
+        lower = pc.utf8_lower(pc.fill_null(part.column(0), ""))
+        if not len(lower):
+            return
+        offsets = np.frombuffer(lower.buffers()[1], np.int64, len(lower) + 1, 8 * lower.offset)
+        a, n = int(offsets[0]), int(offsets[-1] - offsets[0])
         data = np.frombuffer(lower.buffers()[2], np.uint8, n, a) if n else np.zeros(0, np.uint8)
         letter = np.zeros(n + 2, bool)
         letter[1:-1] = is_letter(byte_kinds(data), data)
         # a word ends where its text does
         begin = letter[1:] & ~letter[:-1]
         end = letter[:-1] & ~letter[1:]
-        edges = offsets[at + 1 : to] - a
+        edges = offsets[1:-1] - a
         edges = edges[(edges > 0) & (edges < n)]
         inside = edges[letter[edges] & letter[edges + 1]]
         begin[inside] = end[inside] = True
         start, stop = np.flatnonzero(begin), np.flatnonzero(end)
         words = _mixed(Hashes(data).of(start, stop - start) + (stop - start).astype(np.uint64))
-        yield words, np.searchsorted(start, offsets[at + 1 : to + 1] - a)
-        at = to
+        yield words, np.searchsorted(start, offsets[1:] - a)
 
 
 def pair_hash(before: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -171,7 +170,7 @@ def _map(docs: DataFrame, columns: list[str], schema: str, f) -> DataFrame:  # n
         for batch in batches:
             yield from f(batch)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(tidy(run, "powers"), schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,46 +191,65 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABEL
     return found.select("text", "toxic", (F.pmod(F.shiftright("_hash", 7), F.lit(CURVE)) == 0).alias("curve")), n.get(0, 0), n.get(1, 0)
 
 
-def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Counts of equal rows together."""
+def _summed(columns: list[np.ndarray], counts: np.ndarray | None) -> list[np.ndarray]:
+    """The distinct rows of ``columns``, in whose place each is put, and last their counts if there are any."""
     order = np.lexsort(columns)
-    columns = [c[order] for c in columns]
     new = np.zeros(len(order), bool)
     new[:1] = True
     for c in columns:
-        new[1:] |= c[1:] != c[:-1]
+        own = c[order]
+        new[1:] |= own[1:] != own[:-1]
     at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+    if counts is not None:
+        counts = np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+    order = order[at]
+    for k in range(len(columns)):
+        columns[k] = columns[k][order]
+    return columns if counts is None else [*columns, counts]
 
 
-def _rows(docs: DataFrame, columns: list[str], schema: str, rows) -> DataFrame:  # noqa: ANN001
-    """The rows of numbers that ``rows`` gives for a batch and their counts ``n``; tasks add up what they can hold."""
+def _joined(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Lists of columns end to end; they are emptied, so that a column isn't held twice for long."""
+    return [np.concatenate([x.pop(0) for x in held]) for _ in range(len(held[0]))]
+
+
+def _rows(docs: DataFrame, columns: list[str], schema: str, rows, counted: bool = True) -> DataFrame:  # noqa: ANN001
+    """The rows of numbers that ``rows`` gives for a batch, with ``counted`` their counts ``n``; tasks add up what they can hold."""
+    schema += ", n long" if counted else ""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[list[np.ndarray], np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
         size = 0
 
-        def together() -> tuple[list[np.ndarray], np.ndarray]:
-            return _summed([np.concatenate(c) for c in zip(*(x for x, _ in held))], np.concatenate([n for _, n in held]))
+        def together() -> list[np.ndarray]:
+            found = _joined(held)
+            held.clear()
+            n = found.pop() if counted else None
+            return _summed(found, n)
 
-        def out(x: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in x), pa.array(n)], names=[*names, "n"])
+        def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(found[0]), SENT):
+                some = [x[k : k + SENT] for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.itemsize == 8 else x.astype(np.int64)) for x in some], names=names)
 
         for batch in batches:
             for x in rows(batch):
-                held.append(_summed(x, np.ones(len(x[0]), np.int64)))
-                size += len(held[-1][1])
+                held.append(_summed(x, np.ones(len(x[0]), np.int64) if counted else None))
+                size += len(held[-1][0])
                 if size >= HELD:
-                    held = [together()]
-                    size = len(held[0][1])
+                    found = together()
+                    size = len(found[0])
                     if size >= HELD // 2:
-                        yield out(*held[0])
-                        held, size = [], 0
+                        yield from out(found)
+                        size = 0
+                    else:
+                        held.append(found)
+                    del found
         if held:
-            yield out(*together())
+            yield from out(together())
 
-    return docs.select(*columns).mapInArrow(run, f"{schema}, n long")
+    return docs.select(*columns).mapInArrow(tidy(run, "powers"), schema)
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
@@ -248,9 +266,9 @@ def pair_counts(texts: DataFrame) -> DataFrame:
                 first = np.r_[0, ends[:-1]]
                 second = np.r_[np.uint64(0), before[:-1]]
                 second[first[first < len(words)]] = 0
-                yield [np.full(len(words), kind, np.uint64), before, words, second]
+                yield [np.full(len(words), kind, np.uint8), before, words, second]
 
-    found = _rows(texts, ["text", "toxic"], "toxic long, before long, word long, second long", rows).drop("n").repartition("before", "word").distinct()
+    found = _rows(texts, ["text", "toxic"], "toxic long, before long, word long, second long", rows, counted=False).repartition("before", "word").distinct()
     return found.groupBy("toxic", "before", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -352,6 +370,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(sent.value.scores(batch.column(at)) < threshold, pa.bool_()))
+            for part in parts(batch, at, TOGETHER):
+                yield part.filter(pa.array(sent.value.scores(part.column(at)) < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run, "powers"), docs.schema)
